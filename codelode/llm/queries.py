@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import table
+from .mixing import mix, repeating_weights
 from .packing import pack
+from .topk import scaled, top_products
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -22,8 +26,27 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every twentieth vector."""
+    return top_products(table(spark, sf_dir, "embeddings"), "vec_id", scaled(F.col("embedding")), F.col("vec_id") % 20 == 0, 20)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a mix of 150 % of their words, with sources that weigh 3, 1, 2, repeating."""
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, repeating_weights(docs)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found for every fiftieth vector."""
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding"), F.col("vec_id") % 50 == 0, 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_topk": op2_topk,
+    "op5_mixing": op5_mixing,
+    "op9_ann": op9_ann,
 }
 
 ORACLES: dict[str, str] = {}
