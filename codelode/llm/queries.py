@@ -11,6 +11,7 @@ from .ann import nearest
 from .common import table
 from .mixing import mix, repeating_weights
 from .packing import pack
+from .simhash import exact_bands, near_duplicates
 from .topk import scaled, top_products
 
 
@@ -31,6 +32,12 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"), "vec_id", scaled(F.col("embedding")), F.col("vec_id") % 20 == 0, 20)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at 3 or fewer differing bits of 64."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, words=1, max_bits=3, bands=exact_bands(64, 3, 6))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in a mix of 150 % of their words, with sources that weigh 3, 1, 2, repeating."""
     docs = table(spark, sf_dir, "documents")
@@ -45,6 +52,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
+    "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
     "op9_ann": op9_ann,
 }
