@@ -23,7 +23,7 @@ RUN = re.compile(r"\s[ \n]")
 #: How the tokenizer splits a text before it merges bytes (fixed by the vocabulary).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's cache, and the longest chunk that is kept in it.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 32
 
 
 def byte_letters() -> dict[str, int]:
