@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import table
+from .langid import identify, learn
 from .mixing import mix, repeating_weights
 from .packing import pack
+from .quality import classify
 from .simhash import exact_bands, near_duplicates
+from .spans import without_repeats
 from .topk import scaled, top_products
 
 
@@ -44,6 +47,32 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, repeating_weights(docs)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def remainder(by: int) -> Column:
+    """crc32 of doc_id as text, modulo `by`; 0 without doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % by, F.lit(0))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose remainder by 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.filter(remainder(3) != 1))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labels of those whose remainder by 5 is not 0."""
+    labels = table(spark, sf_dir, "labels").filter(remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    found = classify(table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the sentences of runs that occurred before: two sentences or more, of 8 words or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeats(docs).select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "text")
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors found for every fiftieth vector."""
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding"), F.col("vec_id") % 50 == 0, 5)
@@ -54,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
+    "op6_langid": op6_langid,
+    "op7_quality": op7_quality,
+    "op8_spans": op8_spans,
     "op9_ann": op9_ann,
 }
 
