@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
-from .common import table
+from .common import seeded, table
 from .langid import identify, learn
 from .mixing import mix, repeating_weights
 from .packing import pack
 from .quality import classify
 from .simhash import exact_bands, near_duplicates
 from .spans import without_repeats
+from .suffixes import without_earlier_strings
+from .tokencount import count_tokens
 from .topk import scaled, top_products
 
 
@@ -41,6 +43,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that strings of 50 bytes cover which start in an earlier document too."""
+    return without_earlier_strings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in a mix of 150 % of their words, with sources that weigh 3, 1, 2, repeating."""
     docs = table(spark, sf_dir, "documents")
@@ -78,15 +85,27 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after four edits at places drawn by its id: a word put in, a stretch replaced, one taken out, a line added at the end."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edits = [(F.lit("another "), F.lit(0)), (F.concat(F.coalesce("lang", F.lit("?")), F.lit(": ")), F.lit(24)), (F.lit(""), F.lit(60))]
+    made = [F.struct(F.lit(i).alias("seq"), F.pmod(seeded(i, "doc_id"), n + 1).alias("position"), removed.alias("removed"), text.alias("inserted")) for i, (text, removed) in enumerate(edits)]
+    made.append(F.struct(F.lit(3).alias("seq"), F.lit(2**31).alias("position"), F.lit(0).alias("removed"), F.concat(F.lit("\n"), F.coalesce("source", F.lit(""))).alias("inserted")))
+    docs = table(spark, sf_dir, "documents").withColumn("edits", F.array(*[m.cast("struct<seq: long, position: long, removed: long, inserted: string>") for m in made]))
+    return count_tokens(docs, tokenizer_file())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
+    "op4_suffixes": op4_suffixes,
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
     "op7_quality": op7_quality,
     "op8_spans": op8_spans,
     "op9_ann": op9_ann,
+    "op10_tokencount": op10_tokencount,
 }
 
 ORACLES: dict[str, str] = {}
