@@ -28,7 +28,7 @@ from .common import cut
 from .vectors import first_k, matrix, of_common_length, sound
 
 #: Rows of the first block, of a block of candidates, of a block of queries, and of a step inside a block.
-HEAD, CANDIDATES, QUERIES, STEP = 1024, 16_384, 4_096, 1_024
+HEAD, CANDIDATES, QUERIES, STEP = 1024, 16_384, 1_024, 256
 #: Largest number up to which doubles hold every integer.
 EXACT = 2.0**53
 
