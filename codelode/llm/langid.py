@@ -11,7 +11,8 @@ language is the one of most letters; its score is their share times the probabil
 whole text.
 
 Null texts and texts with no letter are `und` with score 0, and so is everything if nothing was learned. Ties go to the language
-that is first in order. Repeated rows and null ids are rows like any other; other columns are ignored.
+that is first in order. Repeated rows and null ids are rows like any other. Other columns are kept, but for
+those named lang_pred, score and spans, which are replaced.
 """
 
 from __future__ import annotations
@@ -186,6 +187,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs (text, ...) and lang_pred, score, spans."""
     from pyspark.sql import types as T
 
+    docs = docs.drop("lang_pred", "score", "spans")
     names = docs.columns
     spark_model = docs.sparkSession.sparkContext.broadcast(model)
 

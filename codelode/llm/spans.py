@@ -9,7 +9,8 @@ after it belongs to it, so the sentences of a text make up the text. Counts are
 passage that a third of all documents share is a skewed join, which adaptive execution splits, and no group is gathered.
 
 Null text has no sentences, stays null, and loses nothing; nor does an empty text. A doc_id names a document: rows that repeat it count
-as one document and keep its first occurrences. Rows without doc_id are kept as they are and aren't compared. Other columns are kept.
+as one document and keep its first occurrences. Rows without doc_id are kept as they are and aren't compared. Other columns are
+kept, but for those named n_sentences and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -61,6 +62,7 @@ def without_repeats(docs: DataFrame, run: int = 2, min_words: int = 8) -> DataFr
     repeated = found.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = found.join(repeated, "hash").filter(F.struct("doc_id", "at") > F.col("first"))
     gone = later.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("_gone"))  # a number per sentence of a document at most
+    docs = docs.drop("n_sentences", "n_removed")
     names = docs.columns
 
     def drop_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
