@@ -35,7 +35,7 @@ PIVOTS, CHUNK, SEED = 16, 1024, 42
 def remixed(h: np.ndarray, word: int) -> np.ndarray:
     """Another 64-bit hash from a hash; the hash itself for word 0."""
     if word:
-        h = h + np.uint64(word) * np.uint64(0x9E3779B97F4A7C15)
+        h = h + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64)
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         h = h ^ (h >> np.uint64(31))
