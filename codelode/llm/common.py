@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of actions inside as soon as they end, as what they computed is kept elsewhere."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, so that lost executors cost no more than a read."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freeing(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """As `cut`, as a Parquet table: for wide or large intermediate results of which later steps read a few columns."""
     path = f"{shared_dir(df.sparkSession)}/codelode-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freeing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
