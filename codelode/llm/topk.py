@@ -89,12 +89,16 @@ def search_block(q: pd.DataFrame, c: pd.DataFrame, d: int, turn: np.ndarray, k:
         alive = np.flatnonzero(q_len * c_len[a] >= bound - slack)
         if not len(alive):
             break  # all that follow are shorter
-        partial = qr[alive, : cuts[0]] @ cr[a:b, : cuts[0]].T
-        hope = partial + q_rest[0][alive, None] * c_rest[0][None, a:b] >= (bound - slack)[alive, None]
-        qi, ci = np.nonzero(hope)
-        qi, ci, so_far = alive[qi], ci + a, partial[qi, ci]
-        so_far = so_far + np.einsum("ij,ij->i", qr[qi, cuts[0] : cuts[1]], cr[ci, cuts[0] : cuts[1]])
-        keep = (so_far + q_rest[1][qi] * c_rest[1][ci] >= (bound - slack)[qi]) & (q_row[qi] != c_row[ci])
+        qi, ci, need = alive, np.arange(a, b), (bound - slack)[alive]
+        partial = np.zeros((len(qi), len(ci)))
+        for i, (low, high) in enumerate(zip([0, *cuts], [*cuts, d])):  # a product of blocks for each stretch of coordinates
+            partial += qr[qi, low:high] @ cr[ci, low:high].T
+            hope = (partial + q_rest[i][qi, None] * c_rest[i][None, ci] if high < d else partial) >= need[:, None]
+            rows, columns = np.flatnonzero(hope.any(axis=1)), np.flatnonzero(hope.any(axis=0))
+            qi, ci, need, partial, hope = qi[rows], ci[columns], need[rows], partial[np.ix_(rows, columns)], hope[np.ix_(rows, columns)]
+        at = np.nonzero(hope)
+        qi, ci = qi[at[0]], ci[at[1]]
+        keep = q_row[qi] != c_row[ci]
         qi, ci = qi[keep], ci[keep]
         found = [np.r_[x, y] for x, y in zip(best, (qi, ci, scores(qv[qi], cv[ci])))]
         at = first_k(found[0], (-found[2], c_id[found[1]], c_row[found[1]]), k)
