@@ -59,14 +59,13 @@ def clean_output(text: Column) -> Column:
 
 def entropy(value: Column) -> Column:
     """Bits per character."""
-    chars = F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
-    n = F.size(chars).cast("double")
+    chars = F.array_distinct(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)))
 
     def term(c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
+        p = (F.length(value) - F.length(F.replace(value, c, F.lit("")))) / F.length(value)
         return -p * F.log2(p)
 
-    return F.aggregate(F.transform(F.array_distinct(chars), term), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(F.transform(chars, term), F.lit(0.0), lambda a, x: a + x)
 
 
 def is_real_secret(value: Column) -> Column:

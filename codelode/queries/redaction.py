@@ -1 +1,64 @@
-"""Placeholder."""
+"""Secrets and addresses."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import redaction
+from .fixtures import LISTING_SQL, SELECTED_SQL, SETTINGS, listing, table
+from .registry import query
+
+ORG = ("example.org",)
+SECRET_SQL = r"""regexp_replace(text, '(?i)(\b[\w.-]*(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth[_-]?key)[\w.-]*["'']?\s*[:=]\s*)"([^"''\s]{8,})"', '\1"[REDACTED:secret]"', 'g')"""
+EMAIL_SQL = r"""regexp_replace({0}, '(^|[^\w.%+:/-])([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})\b', '\1[REDACTED:email]', 'g')"""
+COUNT_SQL = r"""len(regexp_extract_all(text, '(?i)\b[\w.-]*(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth[_-]?key)[\w.-]*["'']?\s*[:=]\s*"[^"''\s]{8,}"'))"""
+MAIL_COUNT_SQL = r"""len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b'))"""
+
+
+@query(f"SELECT doc_id, md5({SECRET_SQL}) AS text_md5, {COUNT_SQL}::INT AS assignments, 0 AS emails FROM documents")
+def fn10_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything, with the usual safe domains (all addresses of these documents are at one)."""
+    done = redaction.redact_documents(table(spark, sf_dir, "documents"))
+    n = lambda kind: F.coalesce(F.try_element_at("findings", F.lit(kind)), F.lit(0))
+    return done.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), n("credential_assignment").alias("assignments"), n("email").alias("emails"))
+
+
+@query(f"SELECT doc_id, md5({EMAIL_SQL.format(SECRET_SQL)}) AS text_md5, {MAIL_COUNT_SQL}::INT AS emails FROM documents")
+def fn13_redact_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with another safe domain, so that all addresses go."""
+    done = redaction.redact_documents(table(spark, sf_dir, "documents"), ORG)
+    return done.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.coalesce(F.try_element_at("findings", F.lit("email")), F.lit(0)).alias("emails"))
+
+
+@query(f"SELECT doc_id, md5({EMAIL_SQL.format('text')}) AS text_md5 FROM documents")
+def fn13_email_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses by one expression, without Python."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(redaction.redact_emails(F.col("text"), ORG).cast("binary")).alias("text_md5"))
+
+
+@query(f"SELECT doc_id, {COUNT_SQL}::INT AS assignments FROM documents")
+def fn12_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", redaction.assignments(F.col("text")).alias("assignments"))
+
+
+@query("SELECT doc_id, md5('postgres://app:[REDACTED:password]@db' || doc_id || '.local/x') AS text_md5, 1 AS findings FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, md5('postgres://app:changeme-please@db' || doc_id || '.local/x'), 0 FROM documents WHERE doc_id % 2 <> 0")
+def fn11_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An address with a password for each document, every second one a placeholder."""
+    secret = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("q7W"), F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1), F.lit("zR5tUeP"))).otherwise("changeme-please")
+    made = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("postgres://app:"), secret, F.lit("@db"), F.col("doc_id").cast("string"), F.lit(".local/x")).alias("text"))
+    return redaction.redact_documents(made).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.coalesce(F.try_element_at("findings", F.lit("connection_string_password")), F.lit(0)).alias("findings"))
+
+
+@query(f"WITH {LISTING_SQL}, {SELECTED_SQL} SELECT repo, blob_sha, path, md5({SECRET_SQL}) AS text_md5 FROM selected")
+def fn14_redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected files redacted: what identifies them stays."""
+    from ..operators.select import select_files
+
+    done = redaction.redact_documents(select_files(listing(spark, sf_dir), SETTINGS))
+    return done.select("repo", "blob_sha", "path", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"WITH {LISTING_SQL} SELECT repo, 'credential_assignment' AS kind, sum({COUNT_SQL})::BIGINT AS findings FROM listing GROUP BY repo HAVING sum({COUNT_SQL}) > 0")
+def ag6_findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redaction.findings_summary(redaction.redact_documents(listing(spark, sf_dir)))
