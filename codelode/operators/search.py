@@ -26,10 +26,11 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, slices: int = 16) -> Da
     queries: query_id, repo, vector; chunks: id, repo, embedding. A repository's chunks are dealt into slices, each slice meets
     the repository's questions in blocks, and hands on its k best per question, so that only those are shuffled again.
     """
+    queries = queries.select(*[F.col(c).alias(c) for c in ("query_id", "repo", "vector")])  # apart from chunks, where both come from one table
     left = queries.select("query_id", "repo", "vector", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)).alias("_h"))
     blocks = left.groupBy("repo").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
     left = left.join(blocks, "repo").select("query_id", "repo", "vector", (F.col("_h") % F.col("_blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    right = chunks.join(blocks, "repo").select("id", "repo", "embedding", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).cast("long").alias("block"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
+    right = chunks.join(blocks, "repo").select("id", "repo", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_blocks") - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
     keys = ["repo", "block", "slice"]
     id_type, query_type = chunks.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
 

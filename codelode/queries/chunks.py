@@ -1 +1,182 @@
-"""Placeholder."""
+"""Chunks of documents and their vectors."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import PROTOTYPE
+from ..functions import text as T
+from ..functions.paths import language_of
+from ..functions.vectors import l2_normalize
+from ..operators import chunk, embed
+from ..operators.select import select_files
+from .fixtures import LISTING_SQL, SELECTED_SQL, SETTINGS, listing, table
+from .registry import query
+
+DIM = 64
+LANGUAGE_SQL = "CASE WHEN lower(path) LIKE '%.py' THEN 'python' WHEN lower(path) LIKE '%.js' THEN 'javascript' WHEN lower(path) LIKE '%.ts' OR lower(path) LIKE '%.tsx' THEN 'typescript' WHEN lower(path) LIKE '%.md' THEN 'markdown' WHEN lower(path) LIKE '%.ipynb' THEN 'notebook' ELSE 'text' END"
+#: Selected files as documents without structure; n: tokens; path made unique where README files meet.
+DOCS_SQL = f"""{LISTING_SQL}, {SELECTED_SQL}, d AS (
+  SELECT repo, path, blob_sha, ord, {LANGUAGE_SQL} AS language, text, len(regexp_extract_all(text, '[^\\s]+')) AS n, len(string_split(rtrim(text, chr(10)), chr(10))) AS n_lines,
+    trim(text, chr(10)) AS bare, length(text) - length(ltrim(text, chr(10))) + 1 AS first FROM selected)"""
+SMALL_SQL = f"""{DOCS_SQL}, small AS (
+  SELECT *, (first + length(bare) - length(replace(bare, chr(10), '')))::INT AS last, sha1(repo || '|' || path || '|' || blob_sha || '|0') AS id,
+    'File: ' || path || ' (lines ' || first || '-' || (first + length(bare) - length(replace(bare, chr(10), ''))) || ')' || chr(10) || 'Language: ' || language || chr(10) || chr(10) || bare AS embed_text
+  FROM d WHERE n <= 400 AND n > 0)"""
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = select_files(listing(spark, sf_dir), SETTINGS)
+    return files.select("repo", "path", "blob_sha", language_of(F.col("path")).alias("language"), "text", F.lit(None).cast(chunk.UNITS).alias("units"))
+
+
+def small_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).filter(T.token_count(F.col("text")) <= SETTINGS.chunk_tokens)
+
+
+@query(f"WITH {SMALL_SQL} SELECT repo, path, blob_sha, 0 AS chunk_index, first::INT AS start_line, last AS end_line, md5(bare) AS text_md5 FROM small")
+def ch1_chunk_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = small_documents(spark, sf_dir).select("repo", "path", "blob_sha", F.posexplode(chunk.chunk_small(F.col("text"))).alias("chunk_index", "p"))
+    return docs.select("repo", "path", "blob_sha", "chunk_index", "p.start_line", "p.end_line", F.md5(F.col("p.text").cast("binary")).alias("text_md5"))
+
+
+@query()
+def ch2_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are too long for one chunk, cut up: place and size of each piece."""
+    large = documents(spark, sf_dir).filter(T.token_count(F.col("text")) > SETTINGS.chunk_tokens)
+    cut = large.select("repo", "path", F.posexplode(chunk.split_documents(large, SETTINGS)).alias("chunk_index", "p"))
+    return cut.select("repo", "path", "chunk_index", "p.start_line", "p.end_line", T.token_count(F.col("p.text")).alias("tokens"))
+
+
+@query()
+def ch3_pieces_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every piece stands in the lines that it names."""
+    large = documents(spark, sf_dir).filter(T.token_count(F.col("text")) > SETTINGS.chunk_tokens)
+    cut = large.select("repo", "path", "blob_sha", F.split("text", "\n").alias("lines"), F.explode(chunk.split_documents(large, SETTINGS)).alias("p"))
+    there = F.contains(F.array_join(F.slice("lines", F.col("p.start_line"), F.col("p.end_line") - F.col("p.start_line") + 1), "\n"), F.col("p.text"))
+    return cut.groupBy("repo", "path", "blob_sha").agg(F.count("*").alias("pieces"), F.count_if(~there).alias("misplaced"))
+
+
+@query(f"WITH {DOCS_SQL} SELECT repo, path, blob_sha, count(*) FILTER (WHERE n > 0) AS whole FROM d WHERE n <= 1200 AND n > 0 GROUP BY ALL")
+def ch4_whole_file_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which every chunk's parent is the whole file, because it fits."""
+    docs = documents(spark, sf_dir)
+    fits = docs.filter(T.token_count(F.col("text")).between(1, SETTINGS.parent_tokens)).select("repo", "path", "blob_sha", (F.size(F.split(F.regexp_replace("text", r"\n+$", ""), "\n"))).alias("n"))
+    first = chunk.chunk_documents(docs, SETTINGS).filter("chunk_index = 0")
+    whole = (F.col("parent_start_line") == 1) & (F.col("parent_end_line") == F.col("n"))
+    return first.join(fits, ["repo", "path", "blob_sha"]).groupBy("repo", "path", "blob_sha").agg(F.count_if(whole).alias("whole"))
+
+
+@query(f"WITH {SMALL_SQL} SELECT id, repo, path, blob_sha, language, 0 AS chunk_index, first::INT AS start_line, last AS end_line, 1 AS parent_start_line, n_lines::INT AS parent_end_line, NULL::VARCHAR AS scope, md5(bare) AS text_md5, md5(embed_text) AS embed_md5, len(regexp_extract_all(embed_text, '[^\\s]+'))::INT AS token_count FROM small")
+def ch5_chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = chunk.chunk_documents(small_documents(spark, sf_dir), SETTINGS)
+    return done.withColumns({"text_md5": F.md5(F.col("text").cast("binary")), "embed_md5": F.md5(F.col("embed_text").cast("binary"))}).drop("text", "embed_text")
+
+
+@query()
+def ch8_prototype_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older profile: longer chunks behind a line with their path."""
+    return chunk.chunk_documents(documents(spark, sf_dir), PROTOTYPE).select("id", "path", "chunk_index", "token_count", F.regexp_extract("embed_text", r"^[^\n]*", 0).alias("first_line"))
+
+
+@query(f"WITH {LISTING_SQL} SELECT ord, sha1(repo || '|' || path || '|' || blob_sha || '|' || (ord % 7)) AS id FROM listing")
+def fn2_chunk_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing(spark, sf_dir).select("ord", T.chunk_id(F.col("repo"), F.col("path"), F.col("blob_sha"), F.col("ord") % 7).alias("id"))
+
+
+@query("SELECT doc_id, md5('File: ' || source || ' (lines 1-' || n_chars || ')' || chr(10) || 'Language: ' || lang || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Scope: s' || doc_id ELSE '' END || chr(10) || chr(10) || text) AS text_md5 FROM documents")
+def fn3_embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("s"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 3 == 1, "")
+    made = T.embed_text(F.col("source"), F.lit(1), F.col("n_chars"), F.col("lang"), scope, F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(made.cast("binary")).alias("text_md5"))
+
+
+BUCKET_SQL = "list_reduce(list_prepend(0, list_transform(string_split(md5({0}), ''), lambda c: instr('0123456789abcdef', c) - 1)), lambda a, b: (a * 16 + b) % {1})"
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents), k AS (SELECT w, {BUCKET_SQL.format('w', DIM)}::INT AS bucket FROM (SELECT DISTINCT w FROM w)),
+  c AS (SELECT doc_id, bucket, count(*) AS n FROM w JOIN k USING (w) GROUP BY ALL)
+SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM c""")
+def fn15_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as vectors, the buckets that aren't zero."""
+    rows = embed.hash_embed_rows(table(spark, sf_dir, "documents"), ["doc_id"], "text", DIM)
+    return rows.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@query("SELECT vec_id, round(sum(x * i / s), 6) AS mark FROM (SELECT vec_id, x::DOUBLE AS x, i, sqrt(sum(x::DOUBLE * x::DOUBLE) OVER (PARTITION BY vec_id)) AS s FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)) GROUP BY vec_id")
+def fn16_l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors three times as long, brought back to unit length; a weighted sum stands for all components."""
+    unit = l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3))
+    mark = F.aggregate(F.transform(unit, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(mark, 6).alias("mark"))
+
+
+@query("SELECT vec_id % 10 = 3 AS quarantined, count(*) AS n FROM embeddings GROUP BY 1")
+def fn17_check_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth vector has lost a component."""
+    short = F.when(F.col("vec_id") % 10 == 3, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    good, bad = embed.check_dim(table(spark, sf_dir, "embeddings").withColumn("embedding", short), 64)
+    return good.select(F.lit(False).alias("quarantined")).unionByName(bad.select(F.lit(True).alias("quarantined"))).groupBy("quarantined").agg(F.count("*").alias("n"))
+
+
+def hash_model() -> embed.Embedder:
+    """Words by their length: stands for a model that a worker loads."""
+
+    def run(texts: list[str]) -> list[list[float]]:
+        return [[float(sum(1 for w in t.split() if len(w) % 8 == i)) for i in range(8)] for t in texts]
+
+    return run
+
+
+@query("SELECT doc_id, count(*) FILTER (WHERE length(w) % 8 = 3) + 0.0::DOUBLE AS threes FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\s]+')) AS w FROM documents) GROUP BY doc_id")
+def ud1_with_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model by way of the plug-in."""
+    return embed.with_embedder(table(spark, sf_dir, "documents"), hash_model, "text").select("doc_id", F.col("embedding")[3].cast("double").alias("threes"))
+
+
+def letter_counter() -> Callable[[str], int]:
+    return lambda t: len(t) // 4
+
+
+@query()
+def ud2_token_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces under another token counter: four characters a token."""
+    docs = documents(spark, sf_dir).filter(T.token_count(F.col("text")) > SETTINGS.chunk_tokens)
+    cut = docs.select("repo", "path", F.posexplode(chunk.split_documents(docs, SETTINGS, letter_counter)).alias("chunk_index", "p"))
+    return cut.select("repo", "path", "chunk_index", (F.length("p.text") / 4).cast("int").alias("tokens"))
+
+
+#: Units of a document made from its id: three sections, the middle one with an inner one.
+UNIT_SQL = "u AS (SELECT * FROM (VALUES (1, 10, 'a', 0), (11, 30, 'b', 0), (15, 20, 'b > c', 1), (31, 60, 'd', 0)) t(s, e, name, depth))"
+
+
+def three_units() -> Column:
+    rows = [(1, 10, "a", 0), (11, 30, "b", 0), (15, 20, "b > c", 1), (31, 60, "d", 0)]
+    return F.array(*[F.struct(F.lit(s).alias("start_line"), F.lit(e).alias("end_line"), F.lit(n).alias("name"), F.lit(d).alias("depth")) for s, e, n, d in rows])
+
+
+@query(f"WITH {UNIT_SQL} SELECT doc_id, (SELECT max_by(name, depth) FROM u WHERE s <= doc_id % 70 AND e >= doc_id % 70) AS scope FROM documents")
+def jn6_scope_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", chunk.scope_of(three_units(), F.col("doc_id") % 70).alias("scope"))
+
+
+@query(f"""WITH {UNIT_SQL}, c AS (SELECT doc_id, (doc_id % 70)::INT AS a, (doc_id % 70 + doc_id % 9)::INT AS b FROM documents)
+SELECT doc_id, least(a, min(s))::INT AS first_line, greatest(b, max(e))::INT AS last_line FROM c JOIN u ON depth = 0 AND s <= b AND e >= a GROUP BY doc_id, a, b""")
+def jn7_top_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = (F.col("doc_id") % 70).cast("int")
+    span = chunk.top_span(three_units(), a, (a + F.col("doc_id") % 9).cast("int"))
+    found = table(spark, sf_dir, "documents").select("doc_id", span.alias("p")).filter("p is not null")
+    return found.select("doc_id", F.col("p.a").alias("first_line"), F.col("p.b").alias("last_line"))
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS path, l_linenumber AS chunk_index, (l_linenumber * 10)::INT AS start_line, (l_linenumber * 10 + 12)::INT AS end_line FROM lineitem)
+SELECT path, chunk_index, coalesce(lag(start_line) OVER w, start_line) AS parent_start_line, coalesce(lead(end_line) OVER w, end_line) AS parent_end_line FROM c WINDOW w AS (PARTITION BY path ORDER BY chunk_index)""")
+def wn3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as chunks of files without units that don't fit: the neighbours are the parent."""
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("r").alias("repo"), F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("chunk_index"), (F.col("l_linenumber") * 10).cast("int").alias("start_line"), (F.col("l_linenumber") * 10 + 12).cast("int").alias("end_line")).distinct()
+    lines = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: i)
+    full = rows.withColumns({"units": F.array().cast(chunk.UNITS), "lines": lines, "fits": F.lit(False), "n_lines": F.lit(100)})
+    return chunk.with_parents(full, SETTINGS).select("path", "chunk_index", "parent_start_line", "parent_end_line")
