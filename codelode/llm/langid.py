@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS, LENGTHS = 1 << 15, (1, 2, 3)
-#: Entries of a worker's word cache; words longer than this are scored by their n-grams without being kept.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 32
+#: Entries of a worker's word cache, and words of mixed texts that are searched in step.
+CACHE_ENTRIES, LOCKSTEP = 300_000, 1_000_000
 #: Cost of a switch, smoothing count, share of a language's words from which a script belongs to it, and the cost of a script that doesn't.
 SWITCH, SMOOTHING, SCRIPT_SHARE, STRANGE = 8.0, 0.5, 0.01, 50.0
 # First code points of scripts, and of what lies between them ("" is no script of its own).
@@ -124,9 +124,10 @@ class WordScores(dict):
 
     def learn(self, words: set[str]) -> None:
         """Scores new words together."""
-        if len(self) + len(words) > CACHE_ENTRIES:
-            self.forget()
         new = [w for w in words if w not in self]
+        if len(self) + len(new) > CACHE_ENTRIES:
+            self.forget()
+            new = list(words)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             at, of, script = grams([w.lower() for w in part])
@@ -139,48 +140,82 @@ class WordScores(dict):
             self.rows, self.letters = np.concatenate([self.rows, scored.astype(np.float32)]), np.r_[self.letters, letters]
 
 
-def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The labels of the best path, each switch costing `penalty`."""
-    n, languages = scores.shape
+def one_language(scores: np.ndarray, penalty: float) -> int:
+    """The language of the best path if it never switches, else -1: no stretch prefers another language by more than the penalty."""
     total = np.cumsum(scores, axis=0, dtype=float)
     best = int(total[-1].argmax())
     lead = total - total[:, best : best + 1]
-    rise = lead - np.minimum.accumulate(np.concatenate([np.zeros((1, languages)), lead]), axis=0)[:-1]
-    if rise.max() <= penalty:
-        return np.full(n, best)
-    value, back = scores[0].astype(float), np.zeros((n, languages), np.int32)
-    own = np.arange(languages)
-    for i in range(1, n):
-        top = int(value.argmax())
-        switch = value[top] - penalty > value
-        back[i] = np.where(switch, top, own)
-        value = np.where(switch, value[top] - penalty, value) + scores[i]
-    label = np.empty(n, np.int64)
-    label[-1] = int(value.argmax())
-    for i in range(n - 1, 0, -1):
-        label[i - 1] = back[i, label[i]]
-    return label
-
-
-def label_text(text: str | None, known: WordScores, penalty: float = SWITCH) -> tuple[str, float, list[tuple[int, int, str]]]:
-    """Language, score, and spans (start, end, language) in characters."""
-    words = WORDS.findall(text) if text else []
-    if not words or not known.model.languages:
-        return "und", 0.0, []
-    at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    scores, letters = known.rows[at], known.letters[at]
-    if not letters.any():
-        return "und", 0.0, []
-    label = viterbi(scores, penalty)
-    share = np.bincount(label, letters, len(known.model.languages))
-    best = int(share.argmax())
-    total = scores.sum(axis=0, dtype=float)
-    probability = 1 / np.exp(np.minimum(total - total[best], 700)).sum()
-    cuts = [0, *(np.flatnonzero(label[1:] != label[:-1]) + 1).tolist()]
-    starts = [0] if len(cuts) == 1 else [m.start() for m in WORDS.finditer(text)]
-    ends = [*(starts[i] for i in cuts[1:]), len(text)]
-    spans = [(starts[i] if i else 0, e, known.model.languages[label[i]]) for i, e in zip(cuts, ends)]
-    return known.model.languages[best], float(share[best] / share.sum() * probability), spans
+    lowest = np.minimum(np.minimum.accumulate(lead, axis=0), 0)
+    rise = max(float(lead[0].max()), float((lead[1:] - lowest[:-1]).max(initial=0)))
+    return best if rise <= penalty else -1
+
+
+def viterbi(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """Labels of the best path through each text's scores, each switch costing `penalty`. The texts go in step, the longest first."""
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    while order:
+        longest = len(texts[order[0]])
+        group, order = order[: max(1, LOCKSTEP // longest)], order[max(1, LOCKSTEP // longest) :]
+        size = np.array([len(texts[i]) for i in group])
+        going = np.searchsorted(-size, -np.arange(longest), side="left")  # texts of more than t words
+        languages = texts[group[0]].shape[1]
+        scores, back = np.zeros((longest, len(group), languages), np.float32), np.zeros((longest, len(group), languages), np.int8)
+        for j, i in enumerate(group):
+            scores[: size[j], j] = texts[i]
+        value, own, rows = scores[0].astype(float), np.arange(languages), np.arange(len(group))
+        for t in range(1, longest):
+            n = going[t]
+            v = value[:n]
+            top = v.argmax(axis=1)
+            most = v[rows[:n], top] - penalty
+            switch = most[:, None] > v
+            back[t, :n] = np.where(switch, top[:, None], own)
+            value[:n] = np.where(switch, most[:, None], v) + scores[t, :n]
+        label = np.zeros((longest, len(group)), np.int64)
+        now = value.argmax(axis=1)
+        for t in range(longest - 1, -1, -1):
+            n = going[t]
+            label[t, :n] = now[:n]
+            now[:n] = back[t, rows[:n], now[:n]]
+        for j, i in enumerate(group):
+            out[i] = label[: size[j], j]
+    return out
+
+
+def label_texts(texts: list[str | None], known: WordScores, penalty: float = SWITCH) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    """Language, score, and spans (start, end, language; in characters) of each text."""
+    languages = known.model.languages
+    words = [WORDS.findall(t) if t and languages else [] for t in texts]
+    known.learn(set().union(*words))
+    scores, letters, labels = [], [], []
+    for w in words:
+        at = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
+        scores.append(known.rows[at])
+        letters.append(known.letters[at])
+        labels.append(one_language(scores[-1], penalty) if letters[-1].any() else None)
+    mixed = [i for i, label in enumerate(labels) if label == -1]
+    paths = dict(zip(mixed, viterbi([scores[i] for i in mixed], penalty)))
+    out = []
+    for i, (text, label) in enumerate(zip(texts, labels)):
+        if label is None:
+            out.append(("und", 0.0, []))
+            continue
+        best, share, spans = label, 1.0, [(0, len(text), languages[label])]
+        if i in paths:
+            path = paths[i]
+            share_of = np.bincount(path, letters[i], len(languages))
+            best, share = int(share_of.argmax()), float(share_of.max() / share_of.sum())
+            cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist()]
+            if len(cuts) > 1:
+                starts = [m.start() for m in WORDS.finditer(text)]
+                borders = [0, *(starts[c] for c in cuts[1:]), len(text)]
+                spans = [(a, b, languages[path[c]]) for a, b, c in zip(borders, borders[1:], cuts)]
+            else:
+                spans = [(0, len(text), languages[int(path[0])])]
+        total = scores[i].sum(axis=0, dtype=float)
+        out.append((languages[best], share / float(np.exp(np.minimum(total - total[best], 700)).sum()), spans))
+    return out
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -197,8 +232,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)
                 texts = part["text"].to_pylist()
-                known.learn({w for t in texts if t for w in WORDS.findall(t)})
-                found = [label_text(t, known) for t in texts]
+                found = label_texts(texts, known)
                 spans = pa.array([[dict(zip(("start", "end", "lang"), s)) for s in f[2]] for f in found], SPANS)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), spans], names=[*names, "lang_pred", "score", "spans"])
 
