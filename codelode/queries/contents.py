@@ -122,3 +122,4 @@ def src7_merge_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     unpacked = landed.filter(~(odd & ends)).withColumn("broken", F.lit(False)).unionByName(landed.filter(ends).select("repo", F.lit(None).cast("string").alias("path"), F.lit(None).cast("binary").alias("content"), F.lit(True).alias("broken")).distinct())
     merged = contents.merge_contents(landed.drop("content"), landed, unpacked, replace(SETTINGS, archive_threshold=25))
     return merged.select("repo", F.regexp_extract("path", r"^(.*)#\d+$", 1).alias("path"), F.regexp_extract("path", r"#(\d+)$", 1).cast("long").alias("ord"), "via", "method")
+

@@ -20,10 +20,9 @@ from ..functions.text import decode_text, git_blob_sha
 
 def read_landed(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     """Contents of wanted files under folder/<repo>/<commit_sha>/<path>, joined by their place."""
-    root = folder.rstrip("/").split("://")[-1].removeprefix("file:")
+    root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
     landed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    at = F.expr(f"substr(url_decode(replace(regexp_replace(path, '^[a-z]+:/*', '/'), '+', '%2B')), {len(root) + 2})")
-    landed = landed.select(at.alias("_at"), "content")
+    landed = landed.select(F.substring_index("path", f"{root}/", -1).alias("_at"), "content")
     return wanted.withColumn("_at", F.concat_ws("/", "repo", "commit_sha", "path")).join(landed, "_at").drop("_at")
 
 
