@@ -62,3 +62,11 @@ def seeded(seed: int, *cols: Column | str) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words (0 for null)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import stored, unused
 
 SENTENCE_END = re.compile(r"(?:[.!?]\s|\n)\s*")
 FOUND = "doc_id long, at int, hash binary"
@@ -50,6 +50,8 @@ def hashed_runs(text: str | None, run: int, min_words: int) -> list[tuple[int, b
 
 def without_repeats(docs: DataFrame, run: int = 2, min_words: int = 8) -> DataFrame:
     """All columns of docs (doc_id, text, ...), text without its repeated sentences, and n_sentences and n_removed (long)."""
+    docs = docs.drop("n_sentences", "n_removed")
+    names, key, starts_of = docs.columns, unused(docs, "_id"), unused(docs, "_gone")
 
     def hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,14 +63,12 @@ def without_repeats(docs: DataFrame, run: int = 2, min_words: int = 8) -> DataFr
     found = stored(named.mapInArrow(hash_runs, FOUND))
     repeated = found.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = found.join(repeated, "hash").filter(F.struct("doc_id", "at") > F.col("first"))
-    gone = later.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("_gone"))  # a number per sentence of a document at most
-    docs = docs.drop("n_sentences", "n_removed")
-    names = docs.columns
+    gone = later.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("at").alias(starts_of))  # a number per sentence of a document at most
 
     def drop_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n, removed = [], [], []
-            for text, starts in zip(b["text"].to_pylist(), b["_gone"].to_pylist()):
+            for text, starts in zip(b["text"].to_pylist(), b[starts_of].to_pylist()):
                 parts = sentences(text)
                 out = {i + j for i in starts or () for j in range(run) if i + j < len(parts)}
                 texts.append("".join(s for i, s in enumerate(parts) if i not in out) if out else text)
@@ -78,4 +78,4 @@ def without_repeats(docs: DataFrame, run: int = 2, min_words: int = 8) -> DataFr
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_sentences", "n_removed"])
 
     out = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return docs.withColumn("_id", F.col("doc_id").cast("long")).join(gone, "_id", "left").drop("_id").mapInArrow(drop_runs, out)
+    return docs.withColumn(key, F.col("doc_id").cast("long")).join(gone, key, "left").drop(key).mapInArrow(drop_runs, out)
