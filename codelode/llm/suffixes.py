@@ -1,15 +1,15 @@
 """Suffix-array deduplication: bytes covered by a string of `length` bytes that starts in an earlier document too.
 
 What could repeat. Every string of `length` bytes holds an anchor: the place of the least hash among its runs of `ANCHOR` bytes. Equal
-strings have equal anchors, so only strings round anchors that occur in two documents or more can repeat; nothing is
-lost. Anchors are joined by hash over the whole corpus, and each such place gives a context, the bytes that strings
-with this anchor can cover. Equal contexts are one, with its first document.
+strings have equal anchors, so only strings whose anchors occur in two documents or more can repeat; nothing is
+lost. Anchors are joined by hash over the whole corpus, and each such place gives a context, the bytes that the strings
+with this anchor cover. Equal contexts are one, with its first document.
 
 What does repeat. Contexts that share an anchor meet in one task, in pieces of bounded size, each dealt into shards. A shard's
 suffixes are sorted once, which gives its Burrows-Wheeler transform. The shards' transforms are merged without sorting
-again: the interleave of the shards starts in any order and is refined by one stable pass over the symbols per round, after
-which suffixes stand in the order of one symbol more. Where two neighbours part in round k, their common prefix
-has k - 1 symbols; the neighbours that have not parted after `length` rounds are the repeated intervals. An interval's
+again: the interleave of the shards starts in any order and is refined by one stable pass per round over the symbols before
+each suffix, two at a time, after which suffixes stand in the order of two symbols more. Neighbours that part in round k have
+less than 2 k symbols in common; those that have not parted after `length` symbols are the repeated intervals. An interval's
 first document decides for all its strings. An anchor with more than `CROWD` different contexts doesn't meet in one task: its strings
 are looked up one by one, by hash, with counts pre-aggregated.
 
@@ -32,7 +32,7 @@ from .common import stored
 
 ANCHOR = 16
 #: Bytes of text worked on together; contexts merged together, and the shards they are dealt into; contexts of an anchor from which its strings are looked up one by one.
-BLOCK, MERGED, SHARDS, CROWD = 1 << 20, 8_192, 4, 4_096
+BLOCK, MERGED, SHARDS, CROWD = 1 << 20, 8_192, 2, 4_096
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -102,59 +102,88 @@ def anchors_of(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "hash long, doc_id long, at int")
 
 
+def own_strings(text: bytes, places: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of anchors of a text: their place and the first and last start of the strings of `length` bytes whose least hash theirs is."""
+    width, at = length - ANCHOR + 1, np.array(sorted(places), dtype=np.int64)
+    if len(text) < length:
+        return at[:0], at[:0], at[:0]
+    h = hashes(np.frombuffer(text, np.uint8))
+    at = at[at < len(h)]
+    most = np.full(width - 1, np.iinfo(np.uint64).max)
+    padded, steps, low, high = np.concatenate([most, h, most]), np.arange(width - 1), at.copy(), at.copy()
+    for a in range(0, len(at), 16_384):
+        part = at[a : a + 16_384]
+        own = h[part][:, None]
+        left, right = (padded[part[:, None] + o] < own for o in (width - 2 - steps, width + steps))
+        free = lambda smaller: np.where(smaller.any(axis=1), smaller.argmax(axis=1), width - 1)  # noqa: E731  places up to the next smaller hash
+        low[a : a + 16_384], high[a : a + 16_384] = part - free(left), part + free(right) - (width - 1)
+    low, high = np.maximum(low, 0), np.minimum(high, len(text) - length)
+    some = low <= high
+    return at[some], low[some], high[some]
+
+
 def contexts_of(found: DataFrame, length: int) -> DataFrame:
     """hash, doc_id, at, context of the anchors of documents (doc_id, text, places)."""
-    reach = length - ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_id, text, places in zip(b["doc_id"].to_pylist(), bytes_of(b["text"]), b["places"]):
-                at = np.array(places.as_py(), dtype=np.int64)
-                at = at[at + ANCHOR <= len(text)]
+                at, low, high = own_strings(text, places.as_py(), length)
                 if len(at):
-                    context = [text[max(0, p - reach) : p + length] for p in at.tolist()]
-                    h = hashes(np.frombuffer(text, np.uint8))[at] if len(text) >= ANCHOR else np.zeros(len(at), np.uint64)
+                    context = [text[x : y + length] for x, y in zip(low.tolist(), high.tolist())]
+                    h = hashes(np.frombuffer(text, np.uint8))[at]
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([doc_id] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(context, pa.binary())], names=["hash", "doc_id", "at", "context"])
 
     return found.mapInArrow(run, "hash long, doc_id long, at int, context binary")
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of strings put together (each ends in 0), by prefix doubling; suffixes equal over `depth` symbols keep their order."""
-    rank, have = symbols.astype(np.int64), 1
-    while have < depth:
-        after = np.r_[rank[have:], np.zeros(min(have, len(rank)), np.int64)][: len(rank)]
-        key = rank * (rank.max() + 1) + after
-        order = np.argsort(key, kind="stable")
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
+    """Order of the suffixes of strings put together, of symbols below 257 (each string ends in 0), by their first `depth` symbols: prefix doubling from seven."""
+    padded, have = np.concatenate([symbols.astype(np.int64), np.zeros(6, np.int64)]), 7
+    key = np.zeros(len(symbols), np.int64)
+    for i in range(7):
+        key = key * 512 + padded[i : i + len(symbols)]
+    while True:
+        order = np.argsort(key)
+        if have >= depth:
+            return order
+        sorted_ = key[order]
+        rank = np.empty_like(key)
+        rank[order] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
+        key = rank * (rank.max() + 1)
+        key[:-have] += rank[have:]
         have *= 2
-    return np.argsort(rank, kind="stable")
 
 
 def repeated_intervals(shards: list[list[bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges the shards' transforms. For every suffix in merged order: its shard, its place in the shard's symbols, and the number of
     its interval (suffixes of one interval have their first `length` symbols in common)."""
-    transforms, arrays = [], []
-    for strings in shards:
-        symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
+    texts = [np.frombuffer(b"\0".join(strings) + b"\0", np.uint8) for strings in shards]
+    used = np.flatnonzero(np.bincount(np.concatenate(texts), minlength=256))
+    number = np.zeros(256, np.uint16)
+    number[used] = np.arange(1, len(used) + 1)
+    base, arrays, before = len(used) + 1, [], {1: [], 2: []}
+    kind = np.uint16 if base <= 256 else np.uint32  # UTF-8 doesn't use all bytes, so that two symbols fit 16 bits
+    for text, strings in zip(texts, shards):
+        symbols = number[text]
         symbols[np.cumsum([len(s) + 1 for s in strings]) - 1] = 0
         order = suffix_array(symbols, length + 1)
         arrays.append(order)
-        transforms.append(symbols[order - 1])
-    size = [len(t) for t in transforms]
-    bwt, first = np.concatenate(transforms), np.cumsum([0, *size[:-1]])
+        before[1].append(symbols[order - 1].astype(kind))
+        before[2].append(symbols[order - 2].astype(kind) * kind(base) + symbols[order - 1].astype(kind))
+    size = [len(t) for t in texts]
     source = np.repeat(np.arange(len(shards), dtype=np.uint8), size)
-    part = np.zeros(len(bwt), np.int32)  # number of the block of suffixes that have not parted so far
-    for _ in range(length):
-        symbol = np.empty(len(bwt), np.uint16)
-        symbol[np.argsort(source, kind="stable")] = bwt
+    part = np.zeros(len(source), np.int32)  # number of the block of suffixes that have not parted so far
+    for step in [1] * (length % 2) + [2] * (length // 2):
+        symbol = np.empty(len(source), kind)
+        for k, own in enumerate(before[step]):
+            symbol[source == k] = own
         order = np.argsort(symbol, kind="stable")  # one pass: symbols are small numbers
         source, sorted_, old = source[order], symbol[order], part[order]
         part = np.cumsum(np.r_[False, (sorted_[1:] != sorted_[:-1]) | (old[1:] != old[:-1])], dtype=np.int32)
-    nth = np.empty(len(bwt), np.int64)
-    nth[np.argsort(source, kind="stable")] = np.concatenate([np.arange(n) for n in size])
-    place = np.concatenate(arrays)[first[source] + nth]
+    place = np.empty(len(source), np.int64)
+    for k, own in enumerate(arrays):
+        place[source == k] = own
     return source.astype(np.int64), place, part
 
 
@@ -223,15 +252,14 @@ def without_earlier_strings(docs: DataFrame, length: int = 50) -> DataFrame:
 
     `length` is at most 79, so that the starts of a context fit a long.
     """
-    reach = length - ANCHOR
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.filter("doc_id is not null and text is not null")
     found = anchors_of(named, length)
     repeated = found.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("hash")
     places = stored(found.join(repeated, "hash").groupBy("doc_id").agg(F.collect_set("at").alias("places")))  # a number per sixteen bytes of a text, about
     contexts = contexts_of(named.join(places, "doc_id"), length)
-    # Equal contexts are one: its first document, and a place there.
-    distinct = stored(contexts.groupBy("hash", "context").agg(F.min(F.struct("doc_id", "at")).alias("first")).select("hash", "context", "first.*"))
+    # Equal contexts are one: its first document, and a place there (which one doesn't matter).
+    distinct = stored(contexts.groupBy("hash", "context").agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id")))
     several = distinct.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     met = distinct.join(several, "hash")
     starts = merged(met.filter(F.col("n") <= CROWD).drop("n"), length).unionByName(looked_up(met.filter(F.col("n") > CROWD).drop("n"), length))
@@ -248,18 +276,20 @@ def without_earlier_strings(docs: DataFrame, length: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, TYPES)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     def cut_text(text: bytes, places: list[int], firsts: dict[int, int], length: int) -> tuple[bytes, int, int]:
-        context = lambda p: text[max(0, p - reach) : p + length]
-        own = {context(p): s for p, s in firsts.items()}
+        at, low, high = own_strings(text, places, length)
+        context = [text[x : y + length] for x, y in zip(low.tolist(), high.tolist())]
+        own = {c: firsts[p] for c, p in zip(context, at.tolist()) if p in firsts}
         cover = np.zeros(len(text) + 1, np.int64)
-        for p in places:
-            c, base = context(p), max(0, p - reach)
-            n = len(c) - length + 1
-            if n > 0 and p + ANCHOR <= len(text):
-                s = own.get(c, -1)
-                at = [0] if s == -1 else [o for o in range(n) if s >> o & 1]
-                for o in at:
-                    cover[base + o] += 1
-                    cover[base + (n - 1 + length if s == -1 else o + length)] -= 1
+        for c, x, y in zip(context, low.tolist(), high.tolist()):
+            starts = own.get(c)
+            if starts is None:  # an earlier document has all of it
+                cover[x] += 1
+                cover[y + length] -= 1
+            else:
+                for o in range(y - x + 1) if starts else ():
+                    if starts >> o & 1:
+                        cover[x + o] += 1
+                        cover[x + o + length] -= 1
         gone = np.cumsum(cover)[:-1] > 0
         edges = np.diff(np.r_[False, gone, False].astype(np.int8))
         return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), int((edges == 1).sum())
