@@ -108,4 +108,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tokencount": op10_tokencount,
 }
 
-ORACLES: dict[str, str] = {}
+#: The other queries need XXH64, seeded draws, Viterbi, trained weights or tokens, which SQL hasn't.
+ORACLES: dict[str, str] = {
+    "op8_spans": r"""
+WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(text, '(?s).*?(?:[.!?]\s+|\n\s*|$)'), lambda x: x <> '') AS l FROM documents),
+  s AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS i FROM l),
+  k AS (SELECT doc_id, i, lower(trim(s, ' ' || chr(10) || chr(9) || chr(13))) AS p, len(regexp_extract_all(s, '[^\s]+')) AS n FROM s),
+  r AS (SELECT doc_id, i, p || chr(10) || lead(p) OVER w AS key, n + lead(n) OVER w AS n FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS nth FROM r WHERE n >= 8),
+  g AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM f WHERE nth > 1),
+  c AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY doc_id),
+  t AS (SELECT doc_id, string_agg(s, '' ORDER BY i) AS kept FROM s ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(l.l), 0)::BIGINT AS n_sentences, coalesce(n_removed, 0) AS n_removed, sha256(CASE WHEN n_removed IS NULL THEN coalesce(d.text, '') ELSE coalesce(kept, '') END) AS kept_sha256,
+  CASE WHEN n_removed IS NULL THEN d.text ELSE coalesce(kept, '') END AS text
+FROM documents d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
