@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 ANCHOR = 16
+#: Rounds in which contexts are gathered, by hash, so that only a share of them is on the way at once.
+ROUNDS = 2
 #: Bytes of text worked on together; contexts merged together, and the shards they are dealt into; contexts of an anchor from which its strings are looked up one by one.
 BLOCK, MERGED, SHARDS, CROWD = 1 << 20, 8_192, 2, 4_096
 
@@ -122,16 +125,18 @@ def own_strings(text: bytes, places: list[int], length: int) -> tuple[np.ndarray
     return at[some], low[some], high[some]
 
 
-def contexts_of(found: DataFrame, length: int) -> DataFrame:
-    """hash, doc_id, at, context of the anchors of documents (doc_id, text, places)."""
+def contexts_of(found: DataFrame, length: int, turn: int) -> DataFrame:
+    """hash, doc_id, at, context of the anchors of documents (doc_id, text, places) whose turn it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_id, text, places in zip(b["doc_id"].to_pylist(), bytes_of(b["text"]), b["places"]):
                 at, low, high = own_strings(text, places.as_py(), length)
                 if len(at):
-                    context = [text[x : y + length] for x, y in zip(low.tolist(), high.tolist())]
                     h = hashes(np.frombuffer(text, np.uint8))[at]
+                    now = h % np.uint64(ROUNDS) == turn
+                    at, low, high, h = at[now], low[now], high[now], h[now]
+                    context = [text[x : y + length] for x, y in zip(low.tolist(), high.tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([doc_id] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(context, pa.binary())], names=["hash", "doc_id", "at", "context"])
 
     return found.mapInArrow(run, "hash long, doc_id long, at int, context binary")
@@ -257,9 +262,9 @@ def without_earlier_strings(docs: DataFrame, length: int = 50) -> DataFrame:
     found = anchors_of(named, length)
     repeated = found.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("hash")
     places = stored(found.join(repeated, "hash").groupBy("doc_id").agg(F.collect_set("at").alias("places")))  # a number per sixteen bytes of a text, about
-    contexts = contexts_of(named.join(places, "doc_id"), length)
     # Equal contexts are one: its first document, and a place there (which one doesn't matter).
-    distinct = stored(contexts.groupBy("hash", "context").agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id")))
+    of_turn = [contexts_of(named.join(places, "doc_id"), length, turn).groupBy("hash", "context") for turn in range(ROUNDS)]
+    distinct = reduce(DataFrame.unionByName, [stored(c.agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"))) for c in of_turn])
     several = distinct.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     met = distinct.join(several, "hash")
     starts = merged(met.filter(F.col("n") <= CROWD).drop("n"), length).unionByName(looked_up(met.filter(F.col("n") > CROWD).drop("n"), length))
