@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, seeded
-from .vectors import first_k, matrix, of_common_length, sound
+from .vectors import matrix, of_common_length, sound
 
 DIMENSIONS, CONFIDENCE, SEED = 8, 0.985, 11
 #: Rows that the upper levels are fitted on, rows of a slice, rows of a leaf, queries of a group, leaves a step.
