@@ -74,8 +74,10 @@ def pieces(text: str, language: str, settings: Settings, count: Callable[[str],
         if held and sum(sizes) + size > settings.chunk_tokens:
             give()
             while held and (sum(sizes) > settings.chunk_overlap or sum(sizes) + size > settings.chunk_tokens):
-                held.pop(0), sizes.pop(0)
-        held.append((place, part)), sizes.append(size)
+                held.pop(0)
+                sizes.pop(0)
+        held.append((place, part))
+        sizes.append(size)
     if held:
         give()
     return out

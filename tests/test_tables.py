@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import io
 import tarfile
-from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,4 +165,3 @@ def test_stream_resumes(spark, tmp_path, monkeypatch):
     index_stream.index_stream(spark, landed, root).awaitTermination()
     chunks = index_stream.stored_chunks(spark, root)
     assert chunks.count() == 12 and chunks.filter("path = 'f0.py'").first().text == "x = 1"
-    assert replace(Settings(), chunk_tokens=1).chunk_tokens == 1
