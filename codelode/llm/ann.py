@@ -31,7 +31,7 @@ from .vectors import matrix, of_common_length, sound
 
 DIMENSIONS, CONFIDENCE, SEED = 8, 0.985, 11
 #: Rows that the upper levels are fitted on, rows of a slice, rows of a leaf, queries of a group, leaves a step.
-SAMPLE, SLICE, LEAF, QUERIES, STEP = 16_384, 8_192, 64, 2_048, 4
+SAMPLE, SLICE, LEAF, QUERIES, STEP = 16_384, 8_192, 256, 2_048, 4
 
 
 def chi_square_quantile(p: float, dimensions: int) -> float:
@@ -97,10 +97,11 @@ def search_slice(q: pd.DataFrame, c: pd.DataFrame, d: int, k: int, limit: float)
     q_len, c_len = np.sqrt((qv**2).sum(axis=1)), np.sqrt((cv**2).sum(axis=1))
     parts = leaves(cp)
     low, high = np.array([cp[x].min(axis=0) for x in parts]), np.array([cp[x].max(axis=0) for x in parts])
-    out = []
+    reached, nearest_boxes = q["far"].to_numpy(float), box_distance(qp, low, high)
+    query, hits, scored = [], [], []
     for i in range(len(q)):
-        near = box_distance(qp[i : i + 1], low, high)[0]
-        order, far = np.argsort(near, kind="stable"), float(q["far"].iloc[i])
+        near, far = nearest_boxes[i], reached[i]
+        order = np.argsort(near, kind="stable")
         at, score = np.zeros(0, np.int64), np.zeros(0)
         for a in range(0, len(order), STEP):
             if near[order[a]] > limit * far:
@@ -113,8 +114,11 @@ def search_slice(q: pd.DataFrame, c: pd.DataFrame, d: int, k: int, limit: float)
             at, score = at[best], score[best]
             if len(at) == k:
                 far = min(far, max(0.0, 2 - 2 * score[-1]) + 1e-9)
-        out.append(pd.DataFrame({"query_row": q_row[i], "query_id": q["id"].iloc[i], "row": c_row[at], "vec_id": c["id"].array[at], "score": score}))
-    return pd.concat(out) if out else pd.DataFrame(columns=["query_row", "query_id", "row", "vec_id", "score"])
+        query.append(np.full(len(at), i))
+        hits.append(at)
+        scored.append(score)
+    i, at, score = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((query, np.int64), (hits, np.int64), (scored, float)))
+    return pd.DataFrame({"query_row": q_row[i], "query_id": q["id"].array[i], "row": c_row[at], "vec_id": c["id"].array[at], "score": score})
 
 
 FOUND = "query_row long, query_id long, row long, vec_id long, score double"
