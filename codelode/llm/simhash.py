@@ -12,13 +12,17 @@ every pair within max_bits agrees on some band: no link is lost. A band value th
 dealt into chunks that meet two by two. Inside a group only pairs not yet connected are compared, and a group hands on a
 tree per component: never all pairs. Copies of a fingerprint are one node.
 
+A similarity that is to hold exactly is verified on the shingles: candidates are what looser bands and bits connect, and
+only documents of one candidate group meet, with the hashes of their distinct shingles.
+
 Null and empty texts have no words and fingerprint zero, which links like any other. A null doc_id stays null and names
 a component only if no member has an id. Repeated rows get the same result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain, combinations
 
 import numpy as np
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, stored
 from .graph import components
 
-PIVOTS, CHUNK, SEED = 16, 1024, 42
+PIVOTS, CHUNK, VERIFIED, SEED = 16, 1024, 512, 42
 
 
 def remixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -67,15 +71,27 @@ def fingerprint(hashes: np.ndarray, words: int) -> bytes:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
-    """doc_id, fp (8 * words bytes) of documents (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int, words: int = 1, distinct: bool = False) -> DataFrame:
+    """doc_id, fp (8 * words bytes) of documents (doc_id, text).
+
+    With `distinct`, fp is of each shingle once, and digest (of these shingles) and key (of the text) are added.
+    """
+    from xxhash import xxh128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(shingle_hashes(t.as_py(), shingle), words) for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp, pa.binary())], names=["doc_id", "fp"])
+            fp, digest = [], []
+            for t in b["text"]:
+                hashes = shingle_hashes(t.as_py(), shingle)
+                if distinct:
+                    hashes = np.unique(hashes)
+                    digest.append(xxh128_digest(hashes.tobytes()))
+                fp.append(fingerprint(hashes, words))
+            more = [b["key"], pa.array(digest, pa.binary())] if distinct else []
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp, pa.binary()), *more], names=["doc_id", "fp", "key", "digest"][: 2 + len(more)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.xxhash64("text").alias("key")] if distinct else []))
+    return rows.mapInArrow(run, "doc_id long, fp binary" + (", key long, digest binary" if distinct else ""))
 
 
 def exact_bands(bits: int, max_bits: int, blocks: int) -> list[np.ndarray]:
@@ -89,6 +105,12 @@ def sampled_bands(bits: int, width: int) -> list[np.ndarray]:
     return [np.packbits((np.arange(bits) // width) == i) for i in range(bits // width)]
 
 
+def shuffled_bands(bits: int, width: int, orders: int) -> list[list[np.ndarray]]:
+    """Masks of `width` bits each, over all bits in several orders, the given one first."""
+    taken = [np.arange(bits), *(np.random.default_rng(SEED + i).permutation(bits) for i in range(1, orders))]
+    return [[np.packbits(np.isin(np.arange(bits), order[i : i + width])) for i in range(0, bits - width + 1, width)] for order in taken]
+
+
 def binary(rows: np.ndarray) -> pa.Array:
     """Rows of bytes as a binary column."""
     n, w = rows.shape
@@ -127,6 +149,32 @@ def connect(run: np.ndarray, fp: np.ndarray, table: np.ndarray, max_bits: int) -
         step += 1
 
 
+def met_by_chunks(rows: DataFrame, by: str) -> DataFrame:
+    """Adds i and j to rows with `chunks` (null: one): a crowded key's chunks meet two by two; the pairs inside a chunk meet on the way."""
+    chunks, chunk = F.coalesce("chunks", F.lit(1)), F.pmod(F.xxhash64(by), F.coalesce("chunks", F.lit(1))).cast("int")
+    others = F.when(chunks == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), chunks - 1), chunk))
+    met = rows.withColumn("chunk", chunk).withColumn("other", F.explode(others))
+    return met.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Run numbers and rows of all runs of several rows that agree on the integer columns `keys`, each run whole."""
+    held = None
+    for b in chain(batches, (None,)):
+        if b is not None:
+            held = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        if held is None or not held.num_rows:
+            continue
+        values = np.stack([held[x].to_numpy().astype(np.int64) for x in keys])
+        new = np.r_[True, (values[:, 1:] != values[:, :-1]).any(axis=0)]
+        last = int(np.flatnonzero(new)[-1]) if b is not None else held.num_rows  # the last run may go on in the next batch
+        run = np.cumsum(new)[:last]
+        several = np.flatnonzero(np.r_[False, run[1:] == run[:-1]] | np.r_[run[1:] == run[:-1], False]) if last else np.zeros(0, int)
+        if len(several):
+            yield run[several], held.take(pa.array(several))
+        held = held.slice(last)
+
+
 def links(distinct: DataFrame, bands: list[np.ndarray], max_bits: int, width: int) -> DataFrame:
     """Edges (a, b) that connect what links within max_bits connect; distinct: fp, table."""
 
@@ -142,51 +190,113 @@ def links(distinct: DataFrame, bands: list[np.ndarray], max_bits: int, width: in
 
     banded = distinct.select("fp", "table").mapInArrow(band, "key long, fp binary, table binary")
     crowded = banded.select("key").groupBy("key").count().filter(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    # A crowded key's chunks meet two by two; the pairs inside a chunk meet on the way.
-    chunks, chunk = F.coalesce("chunks", F.lit(1)), F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))).cast("int")
-    others = F.when(chunks == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), chunks - 1), chunk))
-    met = banded.join(crowded, "key", "left").withColumn("chunk", chunk).withColumn("other", F.explode(others))
-    met = met.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "fp", "table")
+    met = met_by_chunks(banded.join(crowded, "key", "left"), "fp").select("key", "i", "j", "fp", "table")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in chain(batches, (None,)):
-            if b is not None:
-                held = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            if held is None or not held.num_rows:
-                continue
-            keys = np.stack([held[x].to_numpy().astype(np.int64) for x in ("key", "i", "j")])
-            new = np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]
-            last = int(np.flatnonzero(new)[-1]) if b is not None else held.num_rows  # the last run may go on in the next batch
-            run = np.cumsum(new)[:last]
-            several = np.flatnonzero(np.r_[False, run[1:] == run[:-1]] | np.r_[run[1:] == run[:-1], False]) if last else np.zeros(0, int)
-            if len(several):
-                part = held.take(pa.array(several))
-                fp, table = as_matrix(part["fp"], width), as_matrix(part["table"], PIVOTS)
-                label = connect(run[several], fp, table, max_bits)
-                tied = np.flatnonzero(label != np.arange(len(label)))
-                if len(tied):
-                    yield pa.RecordBatch.from_arrays([binary(fp[tied]), binary(fp[label[tied]])], names=["a", "b"])
-            held = held.slice(last)
+        for run, part in runs(batches, ("key", "i", "j")):
+            fp, table = as_matrix(part["fp"], width), as_matrix(part["table"], PIVOTS)
+            label = connect(run, fp, table, max_bits)
+            tied = np.flatnonzero(label != np.arange(len(label)))
+            if len(tied):
+                yield pa.RecordBatch.from_arrays([binary(fp[tied]), binary(fp[label[tied]])], names=["a", "b"])
 
     return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 8, max_bits: int = 88, bands: list[np.ndarray] | None = None) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id that links reach) of documents (doc_id, text).
+def alike(run: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], max_bits: int, least: float) -> np.ndarray:
+    """Pairs (rows of 2) that connect all rows of a run which a Jaccard similarity of `least` or more connects."""
+    label, n, pairs = np.arange(len(run)), len(run), []
+    size = np.fromiter(map(len, sets), np.int64, n)
+    at, step = np.arange(n), 1
+    while True:
+        at = at[at + step < n]
+        at = at[run[at] == run[at + step]]
+        if not len(at):
+            return np.array(pairs, np.int64).reshape(-1, 2)
+        a = at[label[at] != label[at + step]]
+        a = a[np.minimum(size[a], size[a + step]) >= least * np.maximum(size[a], size[a + step]) * (1 - 1e-9)]
+        a = a[np.bitwise_count(fp[a] ^ fp[a + step]).sum(axis=1, dtype=np.int64) <= max_bits] if len(a) else a
+        for x in a.tolist():
+            y = x + step
+            if label[x] != label[y]:
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both and both / (size[x] + size[y] - both) >= least:
+                    pairs.append((x, y))
+                    low, high = sorted((label[x], label[y]))
+                    label[label == high] = low
+        step += 1
+
 
-    The defaults link documents whose five-word shingles have a Jaccard similarity of about 0.8 or more, as 512 bits tell
-    it: 0.8 is a cosine of 0.89, an angle of 15 % of the bits, here with 1.3 standard deviations in favour of a link. They
-    agree on one of 32 bands of 16 bits with a probability of 0.91 at 0.8, 0.98 at 0.85 and 0.998 at 0.9.
+def similar_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, shingle: int, words: int, max_bits: int, least: float) -> DataFrame:
+    """Edges (a, b) of digests that connect what a Jaccard similarity of `least` or more connects inside a group.
+
+    docs: text; sets: digest, fp, key (hash of a text with these shingles); groups: node (a fingerprint), root.
     """
-    bands = sampled_bands(64 * words, 16) if bands is None else bands
-    marked = stored(fingerprints(docs, shingle, words))
+    named = sets.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("digest", "key", F.xxhash64(F.coalesce("root", "fp")).alias("group"))
+    sizes = named.groupBy("group").count().filter("count > 1").select("group", F.ceil(F.col("count") / VERIFIED).cast("int").alias("chunks"))
+    members = cut(named.join(sizes, "group"))
+    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
 
-    def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, binary(pivot_table(as_matrix(b["fp"], 8 * words)))], names=[*b.schema.names, "table"])
+            for a in range(0, b.num_rows, 1024):
+                part = b.slice(a, 1024)
+                found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part["text"]]
+                columns = [part["group"], part["chunks"], part["digest"], pa.array([fingerprint(h, words) for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["group", "chunks", "digest", "fp", "hashes"])
+
+    held = members.join(texts, "key").select("group", "chunks", "digest", "text").mapInArrow(gather, "group long, chunks int, digest binary, fp binary, hashes binary")
+    met = met_by_chunks(held, "digest").select("group", "i", "j", "digest", "fp", "hashes")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run, part in runs(batches, ("group", "i", "j")):
+            pairs = alike(run, as_matrix(part["fp"], 8 * words), [np.frombuffer(h.as_buffer(), np.uint64) for h in part["hashes"]], max_bits, least)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([part["digest"].take(pa.array(pairs[:, 0])), part["digest"].take(pa.array(pairs[:, 1]))], names=["a", "b"])
+
+    return met.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(compare, "a binary, b binary")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 8, max_bits: int = 120, orders: int = 3, least: float = 0.8) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id that links reach): documents (doc_id, text) link whose distinct word shingles
+    have a Jaccard similarity of `least` or more, and no others.
+
+    Fingerprints are of distinct shingles. 0.8 is a cosine of 0.89, an angle of 15 % of the bits (77 of 512): the limit of
+    bits is 5 standard deviations above, and one of 96 bands of 16 bits agrees with a probability of 0.998 (0.97 for four shingles
+    of five). What these connect is a candidate; it links if its shingles say so.
+    """
+    marked = stored(fingerprints(docs, shingle, words, distinct=True))
+    sets = cut(marked.groupBy("digest", "fp").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")))
+    prints = cut(sets.select("fp").distinct().mapInArrow(tabled(8 * words), "fp binary, table binary"))
+    edges = [cut(links(prints, bands, max_bits, 8 * words)) for bands in shuffled_bands(64 * words, 16, orders)]
+    groups = components(reduce(DataFrame.unionByName, edges))
+    roots = components(cut(similar_sets(docs, sets, groups, shingle, words, max_bits, least)))
+    linked = cut(roots.join(sets.select(F.col("digest").alias("node"), "first"), "node"))
+    leasts = linked.groupBy("root").agg(F.min("first").alias("least"))
+    named = linked.join(leasts, "root").select(F.col("node").alias("digest"), "least")
+    class_of = sets.select("digest", "first").join(named, "digest", "left").select("digest", F.coalesce("least", "first").alias("component_id"))
+    return marked.join(class_of, "digest").select("doc_id", "fp", "component_id")
+
+
+def tabled(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the pivot table to batches of fingerprints."""
 
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")).mapInArrow(tabled, "fp binary, first long, table binary"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, binary(pivot_table(as_matrix(b["fp"], width)))], names=[*b.schema.names, "table"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 8, max_bits: int = 120, bands: list[np.ndarray] | None = None) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id that links reach) of documents (doc_id, text).
+
+    With bands, fingerprints within max_bits that agree on a band link. Without, see similar_documents: similarity of 0.8 or more.
+    """
+    if bands is None:
+        return similar_documents(docs, shingle, words, max_bits)
+    marked = stored(fingerprints(docs, shingle, words))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")).mapInArrow(tabled(8 * words), "fp binary, first long, table binary"))
     roots = components(cut(links(distinct, bands, max_bits, 8 * words)))
     linked = cut(roots.join(distinct.select(F.col("fp").alias("node"), "first"), "node"))
     least = linked.groupBy("root").agg(F.min("first").alias("least"))

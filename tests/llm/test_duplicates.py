@@ -81,6 +81,49 @@ def test_copies_at_similarity(spark):
     assert all(got[i + 20] == i and got[i] == i for i in range(20))
 
 
+@pytest.mark.parametrize("common,more,linked", [(364, 60, False), (404, 50, True), (344, 30, True)], ids=["0.75", "0.8", "0.85"])
+def test_similarity_is_exact(spark, common, more, linked):
+    """Pairs of documents that share `common` words and have `more` of their own; a line that one of them repeats doesn't count."""
+    rng = random.Random(common)
+    word = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for i in range(40):
+        shared = word(common)
+        rows += [(2 * i, f"{shared} {word(more)}"), (2 * i + 1, f"{shared} {word(more)}")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 if linked else d for d, _ in rows}
+
+
+def test_a_repeated_line_counts_once(spark):
+    rng = random.Random(4)
+    base, line = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (300, 6))
+    df = spark.createDataFrame([(1, f"{base} {line}"), (2, f"{base} " + " ".join([line] * 200))], "doc_id long, text string")
+    assert {r.component_id for r in simhash.near_duplicates(df).collect()} == {1}
+
+
+@pytest.mark.parametrize("chunk", [simhash.VERIFIED, 8])
+def test_similarity_in_large_groups(spark, monkeypatch, chunk):
+    """Near copies of one document, some too far from all others: the same components as all pairs give."""
+    monkeypatch.setattr(simhash, "VERIFIED", chunk)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 7)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows}
+    edges = [(a, b) for a in sets for b in sets if a <= b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert 1 < len(set(root.values())) < 60
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == root
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
