@@ -8,6 +8,11 @@ A sentence ends after a full stop, question or exclamation mark with white space
 after it belongs to it, so the sentences of a text make up the text. Counts are pre-aggregated and the join is by hash, so a
 passage that a third of all documents share is a skewed join, which adaptive execution splits, and no group is gathered.
 
+With `longest`, sentences also end at the marks of other scripts, and those of more words are cut where the words themselves say
+so: before a pair of words whose hash is the least of its surroundings, else every `longest` words. Pieces of a passage are then the
+same whatever stands round it. A run that holds such a piece takes as many units as make up twice min_words, as
+fewer words meet by chance inside a sentence. In scripts without spaces, a character is a word.
+
 Null text has no sentences, stays null, and loses nothing; nor does an empty text. A doc_id names a document: rows that repeat it count
 as one document and keep its first occurrences. Rows without doc_id are kept as they are and aren't compared. Other columns are
 kept, but for those named n_sentences and n_removed, which are replaced.
@@ -17,6 +22,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,35 +34,92 @@ from pyspark.sql import types as T
 from .common import stored, unused
 
 SENTENCE_END = re.compile(r"(?:[.!?]\s|\n)\s*")
+#: Letters of scripts that are written without spaces: Thai to Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: Ends of sentences in other scripts too: full-width marks need no white space after them.
+ANY_END = re.compile(r"(?:[.!?\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4]\s|[\u3002\uff01\uff1f\uff61]|\n)\s*")
+UNIT_WORD = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
+REACH = 4
 FOUND = "doc_id long, at int, hash binary"
 
 
 def sentences(text: str | None) -> list[str]:
     """The sentences of a text, with the white space after them."""
+    return split_at(text, SENTENCE_END)
+
+
+def split_at(text: str | None, end: re.Pattern[str]) -> list[str]:
     if not text:
         return []
-    cuts = [0, *(m.end() for m in SENTENCE_END.finditer(text) if m.end() < len(text)), len(text)]
+    cuts = [0, *(m.end() for m in end.finditer(text) if m.end() < len(text)), len(text)]
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def hashed_runs(text: str | None, run: int, min_words: int) -> list[tuple[int, bytes]]:
-    """Position and hash of every run of sentences with at least min_words words."""
+def borders(words: list[str], longest: int) -> list[int]:
+    """Numbers of the words that start a piece, but for the first one."""
+    codes = np.fromiter((crc32(w.lower().encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    pairs = np.r_[codes[:1], codes[:-1]] * np.uint64(0x9E3779B97F4A7C15) + codes * np.uint64(0xBF58476D1CE4E5B9)
+    pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(1)
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(pairs, REACH, constant_values=2**64 - 1), 2 * REACH + 1)
+    least = np.flatnonzero(around.argmin(axis=1) == REACH)
+    out, last = [], 0
+    for at in [*least[(least >= REACH) & (least <= len(words) - REACH)].tolist(), len(words)]:
+        out += range(last + longest, at, longest)
+        out.append(at)
+        last = at
+    return out[:-1]
+
+
+def units(text: str | None, longest: int | None) -> tuple[list[str], list[int], list[bool]]:
+    """Sentences, or their pieces; the words of each; and whether it is a piece."""
+    if longest is None:
+        parts = sentences(text)
+        return parts, [len(s.split()) for s in parts], [False] * len(parts)
+    parts, n, piece = [], [], []
+    for s in split_at(text, ANY_END):
+        starts = [m.start() for m in UNIT_WORD.finditer(s)]
+        cuts = [0]
+        if len(starts) > longest:
+            cuts += borders(UNIT_WORD.findall(s), longest)
+        at = [0, *(starts[c] for c in cuts[1:]), len(s)]
+        parts += [s[a:b] for a, b in zip(at, at[1:])]
+        n += [b - a for a, b in zip(cuts, [*cuts[1:], len(starts)])]
+        piece += [len(cuts) > 1] * len(cuts)
+    return parts, n, piece
+
+
+def runs_of(n: list[int], piece: list[bool], run: int, min_words: int) -> list[tuple[int, int]]:
+    """First unit and number of units of every run."""
+    out, upto, pieces = [], [0, *accumulate(n)], [0, *accumulate(piece)]
+    for i in range(len(n) - run + 1):
+        j = i + run
+        while j <= len(n) and pieces[j] > pieces[i] and upto[j] - upto[i] < 2 * min_words:
+            j += 1
+        if j <= len(n) and upto[j] - upto[i] >= min_words:
+            out.append((i, j - i))
+    return out
+
+
+def hashed_runs(text: str | None, run: int, min_words: int, longest: int | None = None) -> list[tuple[int, bytes]]:
+    """Position and hash of every run with enough words."""
     from xxhash import xxh128_digest
 
-    plain = [s.strip().lower() for s in sentences(text)]
-    upto = np.r_[0, np.cumsum([len(s.split()) for s in plain])] if plain else np.zeros(1, int)
-    starts = np.flatnonzero(upto[run:] - upto[: len(upto) - run] >= min_words).tolist() if len(plain) >= run else []
-    return [(i, xxh128_digest("\n".join(plain[i : i + run]).encode("utf-8", "surrogatepass"))) for i in starts]
+    parts, n, piece = units(text, longest)
+    plain = [s.strip().lower() for s in parts]
+    return [(i, xxh128_digest("\n".join(plain[i : i + k]).encode("utf-8", "surrogatepass"))) for i, k in runs_of(n, piece, run, min_words)]
+
 
+def without_repeats(docs: DataFrame, run: int = 2, min_words: int = 8, longest: int | None = None) -> DataFrame:
+    """All columns of docs (doc_id, text, ...), text without its repeated sentences, and n_sentences and n_removed (long).
 
-def without_repeats(docs: DataFrame, run: int = 2, min_words: int = 8) -> DataFrame:
-    """All columns of docs (doc_id, text, ...), text without its repeated sentences, and n_sentences and n_removed (long)."""
+    With `longest`, units of at most so many words take the place of sentences, in these numbers too.
+    """
     docs = docs.drop("n_sentences", "n_removed")
     names, key, starts_of = docs.columns, unused(docs, "_id"), unused(docs, "_gone")
 
     def hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            runs = [hashed_runs(t.as_py(), run, min_words) for t in b["text"]]
+            runs = [hashed_runs(t.as_py(), run, min_words, longest) for t in b["text"]]
             ids = np.repeat(b["doc_id"].to_numpy(), [len(r) for r in runs])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([i for r in runs for i, _ in r], pa.int32()), pa.array([h for r in runs for _, h in r], pa.binary())], names=["doc_id", "at", "hash"])
 
@@ -69,8 +133,9 @@ def without_repeats(docs: DataFrame, run: int = 2, min_words: int = 8) -> DataFr
         for b in batches:
             texts, n, removed = [], [], []
             for text, starts in zip(b["text"].to_pylist(), b[starts_of].to_pylist()):
-                parts = sentences(text)
-                out = {i + j for i in starts or () for j in range(run) if i + j < len(parts)}
+                parts, words, piece = units(text, longest)
+                size = dict(runs_of(words, piece, run, min_words)) if starts else {}
+                out = {i + j for i in starts or () for j in range(size.get(i, 0))}
                 texts.append("".join(s for i, s in enumerate(parts) if i not in out) if out else text)
                 n.append(len(parts))
                 removed.append(len(out))

@@ -41,8 +41,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the sentences of passages that occurred before; those of which nothing is left go."""
-    cut = without_repeats(docs.select(COLUMNS))
+    """Documents without the sentences (of more than 13 words: the pieces) of passages that occurred before; those of which nothing is left go.
+
+    Two pieces of 13 words and parts of two more at its ends make up a passage of 50 words.
+    """
+    cut = without_repeats(docs.select(COLUMNS), longest=13)
     return cut.filter("n_removed = 0 or n_removed < n_sentences").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

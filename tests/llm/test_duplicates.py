@@ -166,6 +166,38 @@ def test_sentences_make_up_the_text(rows):
         assert "".join(spans.sentences(text)) == (text or "")
 
 
+def test_long_sentences_that_repeat(spark):
+    """A passage of 60 words without an end, in sentences that differ round it; the same in a script without spaces."""
+    rng = random.Random(8)
+    word = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    rows, kept = [], {}
+    for i in range(0, 40, 2):
+        make, glue = (word, " ") if i % 4 else (han, "")
+        passage = make(60)
+        before, after = (make(rng.randrange(5, 40)), make(rng.randrange(5, 40))), (make(20), make(20))
+        rows += [(i + k, glue.join([before[k], passage, after[k]])) for k in (0, 1)]
+        kept[i + 1] = passage
+    same = spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert not same.filter("n_removed > 0").count()
+    got = {r.doc_id: r for r in spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), longest=13).collect()}
+    for i, text in rows:
+        assert "".join(spans.units(text, 13)[0]) == text and max(spans.units(text, 13)[1]) <= 13
+        if i not in kept:
+            assert got[i].text == text
+            continue
+        words = spans.UNIT_WORD.findall
+        left = [w for w in words(got[i].text)]
+        own = [w for w in words(text) if w not in words(kept[i])]
+        assert [w for w in left if w in own] == own  # nothing else goes
+        assert len(left) - len(own) <= 40
+
+
+def test_marks_of_other_scripts():
+    assert spans.units("今日は雨。明日は晴れ！ よい", 13)[0] == ["今日は雨。", "明日は晴れ！ ", "よい"]
+    assert spans.units("यह है। वह है", 13)[0] == ["यह है। ", "वह है"]
+
+
 def brute_bytes(rows, length):
     first = {}
     for d, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
