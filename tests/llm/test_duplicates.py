@@ -217,7 +217,7 @@ def brute_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("crowd,merged", [(suffixes.CROWD, suffixes.MERGED), (1, 8192), (suffixes.CROWD, 32)])
+@pytest.mark.parametrize("crowd,merged", [(suffixes.CROWD, suffixes.MERGED), (1, 8192), (suffixes.CROWD, 32), (2, 8)])
 def test_suffixes(docs, rows, monkeypatch, crowd, merged):
     monkeypatch.setattr(suffixes, "CROWD", crowd)
     monkeypatch.setattr(suffixes, "MERGED", merged)
@@ -231,17 +231,37 @@ def test_suffixes(docs, rows, monkeypatch, crowd, merged):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) in [expected[r.doc_id, t] for t in texts[r.doc_id]]
 
 
+def test_runs_and_pieces_hold_every_string(rows):
+    """Each string of each text is in one run, and in one piece of it; equal strings have equal anchors and cores, at equal distances."""
+    length, texts = 50, [(t or "").encode() for _, t, *_ in rows] + [b"ab" * 300, b"a" * 200, b""]
+    data, cuts = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    of_string, seen = {}, set()
+    for anchor, doc, place in suffixes.runs_of(data, cuts, length):
+        start = cuts[doc] + (place >> suffixes.START)
+        run, start, place, n, core, piece = suffixes.pieces_of(suffixes.words_at(data), start, place, length)
+        for r, s, p, k, c in zip(run.tolist(), start.tolist(), place.tolist(), n.tolist(), core.tolist()):
+            for i in range(k):
+                string = data[s + i : s + i + length].tobytes()
+                seen.add(s + i)
+                assert of_string.setdefault(string, (int(anchor[r]), c, (p >> suffixes.BEFORE & 63) - i)) == (int(anchor[r]), c, (p >> suffixes.BEFORE & 63) - i)
+    assert seen == {int(a) + i for a, t in zip(cuts, texts) for i in range(len(t) - length + 1)}
+
+
 def test_merged_transforms_find_repeated_intervals():
     rng = random.Random(2)
-    strings = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randrange(1, 30))) for _ in range(60)]
-    length = 5
-    starts = suffixes.earlier_strings(strings, np.arange(60), length)
+    depth, cores = 5, np.array([rng.randrange(6) for _ in range(80)])
+    left = [bytes(rng.choice(b"\x00\xff") for _ in range(rng.randrange(depth))) for _ in cores]
+    right = [bytes(rng.choice(b"\x00\xff") for _ in range(rng.randrange(depth - 1 - len(x), depth))) for x in left]
+    whole = [(*x, 1000 + c, *y) for x, c, y in zip(left, cores.tolist(), right)]
+    firsts = np.arange(80) // 2
+    starts = suffixes.earlier_strings(cores, left, right, firsts, depth)
     first = {}
-    for i, s in enumerate(strings):
-        for o in range(len(s) - length + 1):
-            first.setdefault(s[o : o + length], i)
-    for i, s in enumerate(strings):
-        assert starts[i] == sum(1 << o for o in range(len(s) - length + 1) if first[s[o : o + length]] < i)
+    for i, s in enumerate(whole):
+        for o in range(len(s) - depth + 1):
+            first.setdefault(s[o : o + depth], firsts[i])
+    assert starts.any()
+    for i, s in enumerate(whole):
+        assert starts[i] == sum(1 << o for o in range(len(s) - depth + 1) if first[s[o : o + depth]] < firsts[i])
 
 
 def test_empty(no_docs):
