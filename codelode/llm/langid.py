@@ -6,7 +6,7 @@ number is bounded by the buckets, whatever the size of the corpus.
 
 Predicted: the script of a word narrows the candidates, its n-grams give a score per candidate, and Viterbi over the words
 with a penalty for each switch labels spans. A text keeps one language throughout if no stretch of it prefers another one
-by more than the penalty; that is tested first, with running sums, and only the other texts go through the word by word search. A text's
+by the penalty (half of it at either end of the text, where a stretch has one switch only); that is tested first, with running sums, and only the other texts go through the word by word search. A text's
 language is the one of most letters; its score is their share times the probability of that language among all for the
 whole text.
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -28,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import kept, parts_of
+
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS, LENGTHS = 1 << 15, (1, 2, 3)
-#: Entries of a worker's word cache, and words of mixed texts that are searched in step.
-CACHE_ENTRIES, LOCKSTEP = 300_000, 1_000_000
+#: Bytes of a worker's word cache, about (a word takes some 200 besides its scores), and scores of mixed texts that are searched in step.
+CACHE_BYTES, LOCKSTEP = 40 << 20, 2_000_000
 #: Cost of a switch, smoothing count, share of a language's words from which a script belongs to it, and the cost of a script that doesn't.
 SWITCH, SMOOTHING, SCRIPT_SHARE, STRANGE = 8.0, 0.5, 0.01, 50.0
 # First code points of scripts, and of what lies between them ("" is no script of its own).
@@ -118,15 +119,17 @@ class WordScores(dict):
         self.model = model
         self.forget()
 
-    def forget(self) -> None:
+    def forget(self, least: int = 0) -> None:
+        """Empties the cache and makes room for as many words as its bytes allow, for `least` at any rate."""
         self.clear()
-        self.rows, self.letters = np.zeros((0, len(self.model.languages)), np.float32), np.zeros(0, np.int64)
+        self.most = max(least, CACHE_BYTES // (200 + 4 * len(self.model.languages)))
+        self.rows, self.letters = np.empty((self.most, len(self.model.languages)), np.float32), np.empty(self.most, np.int32)
 
     def learn(self, words: set[str]) -> None:
         """Scores new words together."""
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE_ENTRIES:
-            self.forget()
+        if len(self) + len(new) > self.most:
+            self.forget(len(words))
             new = list(words)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
@@ -136,18 +139,22 @@ class WordScores(dict):
             scored -= STRANGE * (~allowed & allowed.any(axis=1, keepdims=True))
             letters = np.array([sum(map(str.isalpha, w)) for w in part])
             scored[letters == 0] = 0
-            self.update(zip(part, range(len(self.rows), len(self.rows) + len(part))))
-            self.rows, self.letters = np.concatenate([self.rows, scored.astype(np.float32)]), np.r_[self.letters, letters]
+            at = len(self)
+            self.rows[at : at + len(part)], self.letters[at : at + len(part)] = scored, letters
+            self.update(zip(part, range(at, at + len(part))))
 
 
 def one_language(scores: np.ndarray, penalty: float) -> int:
-    """The language of the best path if it never switches, else -1: no stretch prefers another language by more than the penalty."""
+    """The language of the best path if it is sure never to switch, else -1.
+
+    Half a switch's penalty counts for the stretch on either side of it: a stretch in another language has two halves, but at an end of the text one.
+    """
     total = np.cumsum(scores, axis=0, dtype=float)
     best = int(total[-1].argmax())
     lead = total - total[:, best : best + 1]
     lowest = np.minimum(np.minimum.accumulate(lead, axis=0), 0)
-    rise = max(float(lead[0].max()), float((lead[1:] - lowest[:-1]).max(initial=0)))
-    return best if rise <= penalty else -1
+    inner, head, tail = (lead[1:] - lowest[:-1]).max(initial=0), lead.max(), (lead[-1] - lowest[:-1].min(axis=0, initial=0)).max()
+    return best if max(inner, 2 * head, 2 * tail) < penalty - 1e-6 else -1
 
 
 def viterbi(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
@@ -156,11 +163,12 @@ def viterbi(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     while order:
         longest = len(texts[order[0]])
-        group, order = order[: max(1, LOCKSTEP // longest)], order[max(1, LOCKSTEP // longest) :]
+        many = max(1, LOCKSTEP // (longest * texts[order[0]].shape[1]))
+        group, order = order[:many], order[many:]
         size = np.array([len(texts[i]) for i in group])
         going = np.searchsorted(-size, -np.arange(longest), side="left")  # texts of more than t words
         languages = texts[group[0]].shape[1]
-        scores, back = np.zeros((longest, len(group), languages), np.float32), np.zeros((longest, len(group), languages), np.int8)
+        scores, back = np.zeros((longest, len(group), languages), np.float32), np.zeros((longest, len(group), languages), np.min_scalar_type(languages))
         for j, i in enumerate(group):
             scores[: size[j], j] = texts[i]
         value, own, rows = scores[0].astype(float), np.arange(languages), np.arange(len(group))
@@ -229,8 +237,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_scores(spark_model)
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
+            for part in parts_of(b, rows=512):
                 texts = part["text"].to_pylist()
                 found = label_texts(texts, known)
                 spans = pa.array([[dict(zip(("start", "end", "lang"), s)) for s in f[2]] for f in found], SPANS)
@@ -242,7 +249,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
-@lru_cache(maxsize=1)
 def word_scores(model) -> WordScores:
     """The cache of this worker for a broadcast model."""
-    return WordScores(model.value)
+    return kept(("words", model), lambda: WordScores(model.value))

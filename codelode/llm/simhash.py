@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import parts_of
 from .common import cut, stored
 from .graph import components
 
@@ -160,9 +161,9 @@ def met_by_chunks(rows: DataFrame, by: str) -> DataFrame:
 def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
     """Run numbers and rows of all runs of several rows that agree on the integer columns `keys`, each run whole."""
     held = None
-    for b in chain(batches, (None,)):
+    for b in chain((b.slice(a, 1024) for b in batches for a in range(0, b.num_rows, 1024)), (None,)):
         if b is not None:
-            held = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            held = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()[0]
         if held is None or not held.num_rows:
             continue
         values = np.stack([held[x].to_numpy().astype(np.int64) for x in keys])
@@ -239,8 +240,7 @@ def similar_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, shingle: i
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                part = b.slice(a, 1024)
+            for part in parts_of(b):
                 found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part["text"]]
                 columns = [part["group"], part["chunks"], part["digest"], pa.array([fingerprint(h, words) for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["group", "chunks", "digest", "fp", "hashes"])

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow import parts_of
 from .common import stored, unused
 
 SENTENCE_END = re.compile(r"(?:[.!?]\s|\n)\s*")
@@ -118,7 +119,7 @@ def without_repeats(docs: DataFrame, run: int = 2, min_words: int = 8, longest:
     names, key, starts_of = docs.columns, unused(docs, "_id"), unused(docs, "_gone")
 
     def hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in parts_of(whole)):
             runs = [hashed_runs(t.as_py(), run, min_words, longest) for t in b["text"]]
             ids = np.repeat(b["doc_id"].to_numpy(), [len(r) for r in runs])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([i for r in runs for i, _ in r], pa.int32()), pa.array([h for r in runs for _, h in r], pa.binary())], names=["doc_id", "at", "hash"])
@@ -130,7 +131,7 @@ def without_repeats(docs: DataFrame, run: int = 2, min_words: int = 8, longest:
     gone = later.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("at").alias(starts_of))  # a number per sentence of a document at most
 
     def drop_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in parts_of(whole)):
             texts, n, removed = [], [], []
             for text, starts in zip(b["text"].to_pylist(), b[starts_of].to_pylist()):
                 parts, words, piece = units(text, longest)

@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import parts_of, raw
 from .common import stored
 
 ANCHOR = 16
@@ -122,25 +123,6 @@ def pieces_of(words: np.ndarray, start: np.ndarray, place: np.ndarray, length: i
     return run, start, place, n, hashed(words, start + before - half * (width - part), core, half), hashed(words, start, n + length - 1, 7)
 
 
-def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of texts put together, and where each begins and ends. Null is empty."""
-    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
-    if column.null_count:
-        column = pc.fill_null(column, "")
-    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return data, offsets - offsets[0]
-
-
-def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about BLOCK bytes of text."""
-    cuts, first = raw(batch["text"])[1], 0
-    while first < batch.num_rows:
-        upto = max(first + 1, int(np.searchsorted(cuts, cuts[first] + BLOCK, side="left")))
-        yield batch.slice(first, upto - first)
-        first = upto
-
-
 def listed(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Row numbers and values of the lists of a column."""
     size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
@@ -190,7 +172,7 @@ def pieces(placed: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in parts_of(batch):
+            for b in parts_of(batch, BLOCK):
                 data, _, row, start, place, _ = located(b, "places", length)
                 if len(row):
                     of, _, place, _, core, piece = pieces_of(words_at(data), start, place, length)
@@ -205,7 +187,7 @@ def edges_of(placed: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in parts_of(batch):
+            for b in parts_of(batch, BLOCK):
                 data, _, row, start, place, wanted = located(b, "wanted", length, "place")
                 n, before = (place & (1 << BEFORE) - 1) + 1, place >> BEFORE & (1 << BEFORE) - 1
                 same = hashed(words_at(data), start, n + length - 1, 7).view(np.int64) == pc.struct_field(wanted, "piece").to_numpy(zero_copy_only=False) if len(row) else np.zeros(0, bool)  # not of another text of this doc_id
@@ -347,12 +329,12 @@ def without_earlier_strings(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.filter("doc_id is not null and text is not null")
-    repeated = met_anchors(named, length).repartition("anchor").groupBy("anchor").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a < b").select("anchor")
+    repeated = stored(met_anchors(named, length).repartition("anchor").groupBy("anchor").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a < b").select("anchor"))
     found = anchors_of(named, length).join(repeated.hint("shuffle_hash"), "anchor")  # a row per anchor on the small side, whatever the other holds
     places = stored(found.groupBy("doc_id").agg(F.collect_list("place").alias("places")))  # a number per sixteen bytes of a text, about
     # Equal pieces are one: its first document, and a place there (which one doesn't matter).
     distinct = stored(pieces(named.join(places, "doc_id"), length).groupBy("core", "piece").agg(F.min_by("place", "doc_id").alias("place"), F.min("doc_id").alias("doc_id")))
-    several = distinct.groupBy("core").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("core", "n")
+    several = stored(distinct.groupBy("core").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("core", "n"))
     wanted = distinct.join(several.hint("shuffle_hash"), "core").groupBy("doc_id").agg(F.collect_list(F.struct("core", "piece", "n", "place")).alias("wanted"))
     edges, depth = stored(edges_of(named.join(wanted, "doc_id"), length)), halves(length)[1]
     starts = merged(edges.filter(F.col("n") <= CROWD), depth).unionByName(looked_up(edges.filter(F.col("n") > CROWD), depth))
@@ -362,7 +344,7 @@ def without_earlier_strings(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in parts_of(batch):
+            for b in parts_of(batch, BLOCK):
                 yield cut_texts(b, length)
 
     marked = docs.join(places, "doc_id", "left").join(firsts, "doc_id", "left")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import parts_of
 from .pretokens import CHUNK, ChunkIds, chunk_ids, encode
 
 #: Characters of a new leaf, about.
@@ -118,7 +119,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = chunk_ids(tokenizer_path)
-        for b in batches:
+        for b in (part for whole in batches for part in parts_of(whole)):
             rows = []
             for doc_id, text, edits in zip(b["doc_id"].to_pylist(), b["text"], b["edits"]):
                 tree = TokenTree(text.as_py() or "", known)

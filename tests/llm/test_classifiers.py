@@ -41,6 +41,56 @@ def test_viterbi(monkeypatch, lockstep):
             assert alone < 0 or (slow_viterbi(text, penalty) == alone).all()
 
 
+def test_texts_of_one_language_are_told_exactly():
+    """Short random texts, of two to five languages: where the shortcut names a language, the search finds it too."""
+    rng, told = np.random.default_rng(1), 0
+    for languages in (2, 3, 5):
+        texts = [rng.normal(0, 3, (rng.integers(1, 12), languages)).astype(np.float32) for _ in range(35_000)]
+        for text, path in zip(texts, langid.viterbi(texts, 8.0)):
+            alone = langid.one_language(text, 8.0)
+            told += alone >= 0
+            assert alone < 0 or (path == alone).all()
+    assert told > 10_000
+
+
+def test_more_languages_than_a_byte_holds():
+    rng = np.random.default_rng(2)
+    texts = [rng.normal(0, 3, (40, 300)).astype(np.float32) for _ in range(5)]
+    for text, path in zip(texts, langid.viterbi(texts, 5.0)):
+        assert (path == slow_viterbi(text, 5.0)).all() and path.max() > 127
+
+
+def grams_of(word):
+    """Buckets of a word's n-grams, one by one."""
+    marked = f"\x02{word}\x03"
+    for n in langid.LENGTHS:
+        for i in range(len(marked) - n + 1):
+            h = n
+            for c in marked[i : i + n]:
+                h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+            yield (h >> 40) % langid.BUCKETS + (n - 1) * langid.BUCKETS
+
+
+def test_counts_and_scores_of_languages(docs, rows):
+    model = langid.learn(docs)
+    counts = {lang: np.full(3 * langid.BUCKETS, langid.SMOOTHING) for lang in model.languages}
+    for _, text, lang, *_ in rows:
+        for w in langid.WORDS.findall(text or ""):
+            if lang is not None and any(c.isalpha() for c in w):
+                for g in grams_of(w.lower()):
+                    counts[lang][g] += 1
+    logs = {}
+    for lang, n in counts.items():
+        logs[lang] = np.concatenate([np.log(part / part.sum()) for part in n.reshape(3, -1)])
+    for i, lang in enumerate(model.languages):
+        assert np.allclose(model.scores[:, i], logs[lang], atol=1e-4)
+    for r in langid.identify(docs, model).collect():
+        if r.lang_pred != "und" and len(r.spans) == 1 and len(r.text) < 3000:
+            total = {lang: sum(logs[lang][g] for w in langid.WORDS.findall(r.text) if any(c.isalpha() for c in w) for g in grams_of(w.lower())) for lang in logs}
+            assert r.lang_pred == max(total, key=total.get)
+            assert r.score == pytest.approx(1 / sum(np.exp(min(t - total[r.lang_pred], 700)) for t in total.values()), abs=1e-3)
+
+
 def test_languages(docs, rows):
     model = langid.learn(docs)
     assert model.languages == ["de", "en"]
@@ -91,6 +141,43 @@ def test_quality_on_held_out(spark):
     assert np.mean([s for s, good in held if good]) > 0.8 and np.mean([s for s, good in held if not good]) < 0.2
 
 
+def test_word_vectors_against_plain_loops(docs, rows):
+    places, signs = quality.index_vectors()
+    bucket = quality.Bucket()
+    total, texts = np.zeros((quality.BUCKETS, quality.WIDTH)), []
+    for doc_id, text, *_ in rows:
+        raw = [bucket[w] for w in quality.TOKENS.findall(text or "")]
+        t = [0 if i and raw[i - 1] == b else b for i, b in enumerate(raw)]
+        texts.append((doc_id, t))
+        for i, own in enumerate(t):
+            for j in range(max(0, i - quality.WINDOW), min(len(t), i + quality.WINDOW + 1)):
+                if j != i:
+                    for place, sign in zip(places[t[j]], signs[t[j]]):
+                        total[own, place] += sign
+    unit = lambda v: v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+    used = total.any(axis=1)
+    expected = unit(unit(total) - unit(total)[used].mean(axis=0))
+    vectors = quality.word_vectors(docs)
+    assert np.allclose(vectors, expected, atol=1e-5)
+    got = sorted((str(r.doc_id), np.round(r.x, 4).tolist()) for r in quality.pooled(docs, vectors).collect())
+    means = sorted((str(d), np.round(np.mean([expected[b] for b in t], axis=0) if t else np.zeros(quality.WIDTH), 4).tolist()) for d, t in texts)
+    assert [d for d, _ in got] == [d for d, _ in means] and np.allclose([x for _, x in got], [x for _, x in means], atol=3e-4)
+
+
+def test_network_against_plain_loops():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(300, quality.WIDTH)), rng.integers(0, 2, 300)
+    x[:, 0] += 2 * y
+    net = quality.fit(x, y)
+    for row, p in zip(x[:40], net.probability(x[:40])):
+        z = float(net.b2)
+        for j in range(quality.HIDDEN):
+            inner = net.b1[j] + sum((row[i] - net.mean[i]) / net.scale[i] * net.w1[i, j] for i in range(quality.WIDTH))
+            z += max(inner, 0) * net.w2[j]
+        assert p == pytest.approx(1 / (1 + np.exp(-z / net.temperature)))
+    assert quality.loss(net.probability(x), y) < quality.loss(np.full(300, 0.5), y)
+
+
 def test_quality_of_odd_rows(spark, docs, no_docs, rows):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None), (4, 1), (4, 0)], "doc_id long, label int")
     out = quality.classify(docs, labels).collect()
@@ -104,13 +191,12 @@ def test_token_trees():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     known, rng = chunk_ids(PATH), random.Random(1)
     for text in ["", "a", " ", "x  y\n\n z" * 200, "a\x1c b " * 300, "　 a\xa0 b\n" * 200, prose(ENGLISH, rng, 300)]:
         tree = tokencount.TokenTree(text, known)
         for _ in range(25):
             p, n = rng.choice([0, len(text), rng.randrange(len(text) + 1)]), rng.choice([0, 1, 3, 50, 700])
-            new = rng.choice(["", " ", "\n", "abc", "  ", "the of and ", "\x1c", "é\t", " x" * 400])
+            new = rng.choice(["", " ", "\n", "abc", "  ", "the of and ", "\x1c", "é\t", " x" * 400, "<|endof", "text|>", "<|endoftext|>"])
             text = text[:p] + new + text[p + n :]
             tree.edit(p, n, new)
             assert "".join(tree.texts) == text and tree.chars[1] == len(text) and tree.tokens[1] == len(t.encode(text, add_special_tokens=False).ids)
@@ -120,7 +206,6 @@ def test_counts_after_edits(spark, docs, no_docs, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     count = lambda text: len(t.encode(text, add_special_tokens=False).ids)
     edits = [(1, 2, 5, 3, "xyz"), (1, 1, 0, 0, "first "), (200, 0, 1000, 10**6, " end"), (201, 0, 7, 7, "new"), (2, 0, None, 1, "no"), (9, 0, -4, -1, "a"), (None, 0, 0, 0, "no")]
     frame = spark.createDataFrame(edits, "doc_id long, seq long, position long, removed long, inserted string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -32,10 +33,17 @@ def test_columns(staged):
 
 
 def test_language_id_keeps_all_with_letters(staged):
-    before, after = by_row(staged["documents"]), by_row(staged["language_id"])
+    found = langid.identify(staged["documents"], langid.learn(staged["documents"])).select("doc_id", "text", "lang_pred", "source")
+    before, after = Counter(tuple(r) for r in found.collect()), by_row(staged["language_id"])
     assert after == Counter({k: n for k, n in before.items() if any(c.isalpha() for w in langid.WORDS.findall(k[1] or "") for c in w)})
 
 
+def test_language_id_without_languages(spark, docs):
+    out = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    letters = [r for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert out.columns == corpus_pipeline.COLUMNS and out.count() == len(letters)
+
+
 def test_near_dedup_keeps_one_of_each_group(staged):
     before, after = staged["language_id"].collect(), staged["near_dedup"].collect()
     kept = Counter(r.doc_id for r in after)
@@ -63,9 +71,25 @@ def test_substring_dedup(staged):
 
 def test_mixing_takes_what_its_operator_says(staged):
     docs = staged["substring_dedup"]
-    copies = {r.doc_id: r.copies for r in mixing.mix(docs, mixing.repeating_weights(docs)).collect()}
-    got = Counter(r.doc_id for r in staged["mixing"].collect())
-    assert {d: n for d, n in copies.items() if n and d is not None} == {d: n for d, n in got.items() if d is not None}
+    copies = Counter()
+    for r in mixing.mix(docs, mixing.repeating_weights(docs), keep=["text"]).collect():
+        copies[r.doc_id, r.kept.text] += r.copies
+    assert +copies == Counter((r.doc_id, r.text) for r in staged["mixing"].collect())
+
+
+def test_mixing_of_rows_without_doc_id(spark):
+    """Copies are those of each row: rows without doc_id don't take the copies of others."""
+    rows = [(None, " ".join(["w"] * (i + 1)), "en", f"s{i % 3}", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    size = Counter()
+    for _, text, _, source, _ in rows:
+        size[source] += len(text.split())
+    out = corpus_pipeline.mixing(spark, docs, "").collect()
+    target = {r.source: r.target for r in mixing.mix(docs, mixing.repeating_weights(docs)).collect()}
+    taken = Counter()
+    for r in out:
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - target[s]) <= 60 for s in size) and max(Counter(r.text for r in out).values()) <= 2
 
 
 def test_packing_packs_everything(staged):
