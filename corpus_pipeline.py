@@ -2,7 +2,9 @@
 
 Each stage takes all that the one before kept. All but the last return the columns of documents (doc_id, text, lang, source,
 n_chars) and no others; n_chars follows the text. Null texts and texts without a letter go in the first stage. Empty tables
-stay empty. Documents without doc_id can't be told apart: near_dedup and substring_dedup keep them as they are.
+stay empty. Documents without doc_id can't be told apart: near_dedup and substring_dedup keep them as they are. Of rows that repeat a
+doc_id, near_dedup keeps one. Ties: the smallest doc_id stays, and the first occurrence of a passage. Very long texts are read
+whole at each stage, by parts of a batch, and packed in several pieces.
 """
 
 from __future__ import annotations
@@ -24,9 +26,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a language can be told: those that aren't `und`."""
+    """Documents of which a language can be told, with that language as their lang; what is `und` goes. Where no row has a lang, none can be
+    learned, and all documents with a letter stay as they are."""
     docs = docs.select(COLUMNS)
-    return identify(docs, learn(docs)).filter("lang_pred <> 'und'").select(COLUMNS)
+    model = learn(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, model).filter("lang_pred <> 'und'")
+    return found.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +59,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as a mix of 150 % of all words takes."""
     docs = docs.select(COLUMNS)
-    copies = mix(docs, repeating_weights(docs)).groupBy("doc_id").agg(F.max("copies").alias("copies")).select(F.col("doc_id").alias("_id"), "copies")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
+    taken = mix(docs, repeating_weights(docs), keep=COLUMNS).filter("copies > 0")
+    return taken.select("kept.*", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
