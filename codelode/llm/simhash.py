@@ -34,7 +34,7 @@ from .arrow import parts_of
 from .common import cut, stored
 from .graph import components
 
-PIVOTS, CHUNK, VERIFIED, SEED = 16, 1024, 512, 42
+PIVOTS, CHUNK, VERIFIED, ROUND, SEED = 16, 1024, 512, 16, 42
 
 
 def remixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -190,8 +190,8 @@ def links(distinct: DataFrame, bands: list[np.ndarray], max_bits: int, width: in
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b["fp"], b["table"]], names=["key", "fp", "table"])
 
     banded = distinct.select("fp", "table").mapInArrow(band, "key long, fp binary, table binary")
-    crowded = banded.select("key").groupBy("key").count().filter(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    met = met_by_chunks(banded.join(crowded, "key", "left"), "fp").select("key", "i", "j", "fp", "table")
+    shared = banded.select("key").groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+    met = met_by_chunks(banded.join(shared, "key"), "fp").select("key", "i", "j", "fp", "table")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run, part in runs(batches, ("key", "i", "j")):
@@ -268,7 +268,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 8, max_bit
     marked = stored(fingerprints(docs, shingle, words, distinct=True))
     sets = cut(marked.groupBy("digest", "fp").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")))
     prints = cut(sets.select("fp").distinct().mapInArrow(tabled(8 * words), "fp binary, table binary"))
-    edges = [cut(links(prints, bands, max_bits, 8 * words)) for bands in shuffled_bands(64 * words, 16, orders)]
+    rounds = [bands[i : i + ROUND] for bands in shuffled_bands(64 * words, 16, orders) for i in range(0, len(bands), ROUND)]  # so few at once, for the sake of disk
+    edges = [cut(links(prints, bands, max_bits, 8 * words)) for bands in rounds]
     groups = components(reduce(DataFrame.unionByName, edges))
     roots = components(cut(similar_sets(docs, sets, groups, shingle, words, max_bits, least)))
     linked = cut(roots.join(sets.select(F.col("digest").alias("node"), "first"), "node"))
