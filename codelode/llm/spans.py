@@ -22,8 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
-from zlib import crc32
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,12 @@ UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4
 #: Ends of sentences in other scripts too: full-width marks need no white space after them.
 ANY_END = re.compile(r"(?:[.!?\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4]\s|[\u3002\uff01\uff1f\uff61]|\n)\s*")
 UNIT_WORD = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
+#: Where these scripts begin and end, in turn, and white space.
+RANGES = np.array([ord(c) + i for a, b in re.findall("(.)-(.)", UNSPACED) for i, c in enumerate((a, b))])
+UNSPACED_FROM, SPACE = int(RANGES[0]), np.array([chr(i).isspace() for i in range(0x3002)])
 REACH = 4
+#: Characters of texts that are cut together.
+TOGETHER = 1 << 16
 FOUND = "doc_id long, at int, hash binary"
 
 
@@ -56,37 +60,86 @@ def split_at(text: str | None, end: re.Pattern[str]) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def borders(words: list[str], longest: int) -> list[int]:
-    """Numbers of the words that start a piece, but for the first one."""
-    codes = np.fromiter((crc32(w.lower().encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
-    pairs = np.r_[codes[:1], codes[:-1]] * np.uint64(0x9E3779B97F4A7C15) + codes * np.uint64(0xBF58476D1CE4E5B9)
-    pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(1)
-    around = np.lib.stride_tricks.sliding_window_view(np.pad(pairs, REACH, constant_values=2**64 - 1), 2 * REACH + 1)
-    least = np.flatnonzero(around.argmin(axis=1) == REACH)
-    out, last = [], 0
-    for at in [*least[(least >= REACH) & (least <= len(words) - REACH)].tolist(), len(words)]:
-        out += range(last + longest, at, longest)
-        out.append(at)
-        last = at
-    return out[:-1]
+def word_places(text: str, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start, and a number for each (case doesn't count). Words end where sentences do."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    small = text.lower()
+    if len(small) != len(text):
+        small = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    space = SPACE[np.minimum(points, len(SPACE) - 1)]
+    begins = ~space & np.r_[True, space[:-1]]
+    if points.max() >= UNSPACED_FROM:
+        alone = np.searchsorted(RANGES, points, side="right") % 2 == 1
+        begins |= ~space & (alone | np.r_[False, alone[:-1]])
+    begins[cuts] |= ~space[cuts]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    own = np.frombuffer(small.encode("utf-32-le", "surrogatepass"), "<u4")[starts[0] :].astype(np.uint64)
+    nth = (np.arange(starts[0], len(points)) - np.repeat(starts, np.diff(np.r_[starts, len(points)]))).astype(np.uint64)
+    own = (own + nth * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    own ^= own >> np.uint64(31)
+    own[space[starts[0] :]] = 0
+    return starts, np.add.reduceat(own, starts - starts[0])
+
+
+def piece_starts(numbers: np.ndarray, first: np.ndarray, longest: int) -> np.ndarray:
+    """Numbers of the words that start a piece inside a sentence; `first`: the first word of each sentence."""
+    size = np.diff(np.r_[first, len(numbers)])
+    sentence = np.repeat(np.arange(len(first)), size)
+    nth = np.arange(len(numbers)) - first[sentence]
+    before = np.where(nth == 0, numbers, np.r_[numbers[:1], numbers[:-1]])
+    pair = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (numbers * np.uint64(0xD6E8FEB86659FD93))
+    pair = (pair ^ (pair >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(1)
+    n = len(pair)
+    least = (nth >= REACH) & (nth < size[sentence] - REACH) & (size[sentence] > longest)
+    for step in range(1, REACH + 1):
+        least[step:] &= pair[step:] < pair[: n - step]
+        least[: n - step] &= pair[: n - step] <= pair[step:]
+    starts = np.unique(np.r_[first[size > 0], np.flatnonzero(least)])
+    pieces = -(-np.diff(np.r_[starts, n]) // longest)
+    each = np.repeat(starts, pieces) + longest * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return np.setdiff1d(each, first, assume_unique=False)
 
 
 def units(text: str | None, longest: int | None) -> tuple[list[str], list[int], list[bool]]:
     """Sentences, or their pieces; the words of each; and whether it is a piece."""
+    return next(units_of([text], longest))
+
+
+def units_of(texts: list[str | None], longest: int | None) -> Iterator[tuple[list[str], list[int], list[bool]]]:
+    """The units of each text; short texts are looked at together."""
     if longest is None:
-        parts = sentences(text)
-        return parts, [len(s.split()) for s in parts], [False] * len(parts)
-    parts, n, piece = [], [], []
-    for s in split_at(text, ANY_END):
-        starts = [m.start() for m in UNIT_WORD.finditer(s)]
-        cuts = [0]
-        if len(starts) > longest:
-            cuts += borders(UNIT_WORD.findall(s), longest)
-        at = [0, *(starts[c] for c in cuts[1:]), len(s)]
-        parts += [s[a:b] for a, b in zip(at, at[1:])]
-        n += [b - a for a, b in zip(cuts, [*cuts[1:], len(starts)])]
-        piece += [len(cuts) > 1] * len(cuts)
-    return parts, n, piece
+        for text in texts:
+            parts = sentences(text)
+            yield parts, [len(s.split()) for s in parts], [False] * len(parts)
+        return
+    together, size = [], 0
+    for i, text in enumerate(texts):
+        together.append(text or "")
+        size += len(together[-1])
+        if size >= TOGETHER or i == len(texts) - 1:
+            yield from pieces_of(together, longest)
+            together, size = [], 0
+
+
+def pieces_of(texts: list[str], longest: int) -> Iterator[tuple[list[str], list[int], list[bool]]]:
+    """The units of several texts, their sentences cut into pieces of `longest` words at most."""
+    text, begin = "".join(texts), [0, *accumulate(map(len, texts))]
+    ends = [[b, *(b + m.end() for m in ANY_END.finditer(t) if m.end() < len(t))] if t else [] for b, t in zip(begin, texts)]
+    cuts = np.array(list(chain.from_iterable(ends)), np.int64)
+    starts, numbers = word_places(text, cuts) if text else (cuts, cuts)
+    first = np.searchsorted(starts, cuts)
+    inner = piece_starts(numbers, first, longest) if len(starts) else starts
+    sentence = np.r_[np.arange(len(cuts)), np.searchsorted(cuts, starts[inner], side="right") - 1]
+    at, words = np.r_[cuts, starts[inner]], np.r_[first, inner]
+    order = np.argsort(at, kind="stable")
+    at, piece = at[order], (np.bincount(sentence, minlength=len(cuts))[sentence[order]] > 1).tolist()
+    n, borders = np.diff(np.r_[words[order], len(starts)]).tolist(), np.searchsorted(at, begin).tolist()
+    at = [*at.tolist(), len(text)]
+    parts = [text[a:b] for a, b in zip(at, at[1:])]
+    for a, b in zip(borders, borders[1:]):
+        yield parts[a:b], n[a:b], piece[a:b]
 
 
 def runs_of(n: list[int], piece: list[bool], run: int, min_words: int) -> list[tuple[int, int]]:
@@ -101,11 +154,10 @@ def runs_of(n: list[int], piece: list[bool], run: int, min_words: int) -> list[t
     return out
 
 
-def hashed_runs(text: str | None, run: int, min_words: int, longest: int | None = None) -> list[tuple[int, bytes]]:
-    """Position and hash of every run with enough words."""
+def hashed_runs(parts: list[str], n: list[int], piece: list[bool], run: int, min_words: int) -> list[tuple[int, bytes]]:
+    """Position and hash of every run of units with enough words."""
     from xxhash import xxh128_digest
 
-    parts, n, piece = units(text, longest)
     plain = [s.strip().lower() for s in parts]
     return [(i, xxh128_digest("\n".join(plain[i : i + k]).encode("utf-8", "surrogatepass"))) for i, k in runs_of(n, piece, run, min_words)]
 
@@ -120,7 +172,7 @@ def without_repeats(docs: DataFrame, run: int = 2, min_words: int = 8, longest:
 
     def hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in parts_of(whole)):
-            runs = [hashed_runs(t.as_py(), run, min_words, longest) for t in b["text"]]
+            runs = [hashed_runs(*found, run, min_words) for found in units_of(b["text"].to_pylist(), longest)]
             ids = np.repeat(b["doc_id"].to_numpy(), [len(r) for r in runs])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([i for r in runs for i, _ in r], pa.int32()), pa.array([h for r in runs for _, h in r], pa.binary())], names=["doc_id", "at", "hash"])
 
@@ -133,8 +185,8 @@ def without_repeats(docs: DataFrame, run: int = 2, min_words: int = 8, longest:
     def drop_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in parts_of(whole)):
             texts, n, removed = [], [], []
-            for text, starts in zip(b["text"].to_pylist(), b[starts_of].to_pylist()):
-                parts, words, piece = units(text, longest)
+            whole = b["text"].to_pylist()
+            for text, starts, (parts, words, piece) in zip(whole, b[starts_of].to_pylist(), units_of(whole, longest)):
                 size = dict(runs_of(words, piece, run, min_words)) if starts else {}
                 out = {i + j for i in starts or () for j in range(size.get(i, 0))}
                 texts.append("".join(s for i, s in enumerate(parts) if i not in out) if out else text)
