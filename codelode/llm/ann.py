@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, seeded
+from .common import seeded
 from .vectors import matrix, of_common_length, sound
 
 DIMENSIONS, CONFIDENCE, SEED = 8, 0.985, 11
@@ -137,7 +137,7 @@ def nearest(vectors: DataFrame, id_column: str, vector: Column, is_query: Column
             p = unit / np.sqrt((unit**2).sum(axis=1, keepdims=True)) @ weights
             yield pa.RecordBatch.from_arrays([b["row"], b["id"], b["is_query"], *[pa.array([r.tobytes() for r in x], pa.binary()) for x in (v, p)]], names=["row", "id", "is_query", "v", "p"])
 
-    rows = cut(usable.select(F.monotonically_increasing_id().alias("row"), "id", "is_query", "v").mapInArrow(project, "row long, id long, is_query boolean, v binary, p binary"))
+    rows = stored(usable.select(F.monotonically_increasing_id().alias("row"), "id", "is_query", "v").mapInArrow(project, "row long, id long, is_query boolean, v binary, p binary"))
     n = rows.count()
     sample = matrix([r.p for r in rows.select("p").orderBy(seeded(SEED, "row")).limit(SAMPLE).collect()], "<f8", DIMENSIONS)
     depth = max(0, min(math.ceil(math.log2(max(n, 1) / SLICE)), int(math.log2(max(len(sample), 1) / 16)) if len(sample) >= 16 else 0))
@@ -148,7 +148,7 @@ def nearest(vectors: DataFrame, id_column: str, vector: Column, is_query: Column
             cell = cell_of(matrix(b["p"].to_pylist(), "<f8", DIMENSIONS), tree)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=[*b.schema.names, "cell"])
 
-    indexed = cut(rows.mapInArrow(index, "row long, id long, is_query boolean, v binary, p binary, cell int"))
+    indexed = stored(rows.mapInArrow(index, "row long, id long, is_query boolean, v binary, p binary, cell int"))
 
     def boxes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list] = {}
@@ -191,7 +191,7 @@ def nearest(vectors: DataFrame, id_column: str, vector: Column, is_query: Column
         right = c.join(groups, ["cell", "slice"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda q, c: search_slice(q, c, d, k, limit), FOUND)
 
-    first = cut(search(queries.withColumn("far", F.lit(float("inf"))).mapInPandas(visits(True), routed)))
+    first = stored(search(queries.withColumn("far", F.lit(float("inf"))).mapInPandas(visits(True), routed)))
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     kth = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_row").alias("row"), (2 - 2 * F.col("score") + 1e-9).alias("far"))
     others = queries.join(kth, "row", "left").withColumn("far", F.greatest(F.coalesce("far", F.lit(float("inf"))), F.lit(0.0)))

@@ -39,15 +39,11 @@ def freeing(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared folder, so that lost executors cost no more than a read."""
-    shared_dir(df.sparkSession)
-    with freeing(df.sparkSession):
-        return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """As `cut`, as a Parquet table: for wide or large intermediate results of which later steps read a few columns."""
+    """`df` computed once and kept as a Parquet table in the shared folder, so that lost executors cost no more than a read.
+
+    (A checkpoint would keep its shuffle files until the driver happens to collect its garbage.)
+    """
     path = f"{shared_dir(df.sparkSession)}/codelode-{uuid.uuid4().hex}"
     with freeing(df.sparkSession):
         df.write.parquet(path)

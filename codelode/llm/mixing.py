@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, seeded, stored, word_count
+from .common import seeded, stored, word_count
 
 SLICES, DEALT = 64, 1 << 17
 
@@ -36,7 +36,7 @@ def key_of(source: str = "source"):
 def ranked(df: DataFrame, *order: str) -> DataFrame:
     """Adds `position` (from 0) in the total order of the columns, without bringing the rows into one task."""
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    local = cut(sorted_.withColumns({"_task": F.spark_partition_id(), "_nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    local = stored(sorted_.withColumns({"_task": F.spark_partition_id(), "_nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     counts = local.groupBy("_task").agg(F.count("*").alias("_n"))
     before = counts.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before"))  # a row per task
     return local.join(before, "_task").withColumn("position", F.col("_before") + F.col("_nth")).drop("_task", "_nth", "_before")
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights: DataFrame, share: float = 1.5, max_epochs: flo
     own = [F.col("doc_id").cast("long").alias("doc_id"), "source", key_of().alias("key"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("content")]
     held = stored(docs.select(F.monotonically_increasing_id().alias("row"), *own, *kept))
     sized = held.drop("kept")
-    sources = cut(sized.groupBy("key").agg(F.sum("size").alias("source_size")).join(weights.select("key", F.col("weight").cast("double").alias("weight")), "key"))
+    sources = stored(sized.groupBy("key").agg(F.sum("size").alias("source_size")).join(weights.select("key", F.col("weight").cast("double").alias("weight")), "key"))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     slices_of = max(SLICES, -(-sized.count() // DEALT))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

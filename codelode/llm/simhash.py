@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import parts_of
-from .common import cut, stored
+from .common import stored
 from .graph import components
 
 PIVOTS, CHUNK, VERIFIED, ROUND, SEED = 16, 1024, 512, 16, 42
@@ -235,7 +235,7 @@ def similar_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, shingle: i
     """
     named = sets.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("digest", "key", F.xxhash64(F.coalesce("root", "fp")).alias("group"))
     sizes = named.groupBy("group").count().filter("count > 1").select("group", F.ceil(F.col("count") / VERIFIED).cast("int").alias("chunks"))
-    members = cut(named.join(sizes, "group"))
+    members = stored(named.join(sizes, "group"))
     texts = docs.select(F.xxhash64("text").alias("key"), "text").join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,13 +266,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 8, max_bit
     of five). What these connect is a candidate; it links if its shingles say so.
     """
     marked = stored(fingerprints(docs, shingle, words, distinct=True))
-    sets = cut(marked.groupBy("digest", "fp").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")))
-    prints = cut(sets.select("fp").distinct().mapInArrow(tabled(8 * words), "fp binary, table binary"))
+    sets = stored(marked.groupBy("digest", "fp").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")))
+    prints = stored(sets.select("fp").distinct().mapInArrow(tabled(8 * words), "fp binary, table binary"))
     rounds = [bands[i : i + ROUND] for bands in shuffled_bands(64 * words, 16, orders) for i in range(0, len(bands), ROUND)]  # so few at once, for the sake of disk
-    edges = [cut(links(prints, bands, max_bits, 8 * words)) for bands in rounds]
+    edges = [stored(links(prints, bands, max_bits, 8 * words)) for bands in rounds]
     groups = components(reduce(DataFrame.unionByName, edges))
-    roots = components(cut(similar_sets(docs, sets, groups, shingle, words, max_bits, least)))
-    linked = cut(roots.join(sets.select(F.col("digest").alias("node"), "first"), "node"))
+    roots = components(stored(similar_sets(docs, sets, groups, shingle, words, max_bits, least)))
+    linked = stored(roots.join(sets.select(F.col("digest").alias("node"), "first"), "node"))
     leasts = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(leasts, "root").select(F.col("node").alias("digest"), "least")
     class_of = sets.select("digest", "first").join(named, "digest", "left").select("digest", F.coalesce("least", "first").alias("component_id"))
@@ -297,9 +297,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 8, max_bits:
     if bands is None:
         return similar_documents(docs, shingle, words, max_bits)
     marked = stored(fingerprints(docs, shingle, words))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")).mapInArrow(tabled(8 * words), "fp binary, first long, table binary"))
-    roots = components(cut(links(distinct, bands, max_bits, 8 * words)))
-    linked = cut(roots.join(distinct.select(F.col("fp").alias("node"), "first"), "node"))
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")).mapInArrow(tabled(8 * words), "fp binary, first long, table binary"))
+    roots = components(stored(links(distinct, bands, max_bits, 8 * words)))
+    linked = stored(roots.join(distinct.select(F.col("fp").alias("node"), "first"), "node"))
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
     class_of = distinct.select("fp", "first").join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 from .vectors import first_k, matrix, of_common_length, sound
 
 #: Rows of the first block, of a block of candidates, of a block of queries, and of a step inside a block.
@@ -44,7 +44,7 @@ def prepared(vectors: DataFrame, id_column: str, vector: Column, is_query: Colum
             yield pa.RecordBatch.from_arrays([b["row"], b["id"], b["is_query"], b["length"], pa.array([r.tobytes() for r in flat], pa.binary())], names=b.schema.names)
 
     rows = usable.select(F.monotonically_increasing_id().alias("row"), "id", F.coalesce("is_query", F.lit(False)).alias("is_query"), length.alias("length"), "v")
-    return cut(rows.mapInArrow(run, "row long, id long, is_query boolean, length double, v binary")), d
+    return stored(rows.mapInArrow(run, "row long, id long, is_query boolean, length double, v binary")), d
 
 
 def rotation(rows: DataFrame, d: int) -> np.ndarray:
