@@ -88,8 +88,8 @@ def learn(rows: DataFrame) -> Model:
                 lower = Counter()
                 for w, n in counter.items():
                     lower[w.lower()] += n
-                known = [w for w in lower if any(map(str.isalpha, w))]
-                if known:
+                every = [w for w in lower if any(map(str.isalpha, w))]
+                for known in (every[i : i + 20_000] for i in range(0, len(every), 20_000)):
                     at, of, script = grams(known)
                     often = np.array([lower[w] for w in known], dtype=np.int64)
                     sums = total.setdefault(lang, np.zeros(width, np.int64))

@@ -10,7 +10,7 @@ discarded, and what is left is verified on the fingerprints.
 Pairs are looked for among fingerprints that agree on a band of bits, so that they meet by a shuffle. With `exact_bands`
 every pair within max_bits agrees on some band: no link is lost. A band value that many fingerprints share is
 dealt into chunks that meet two by two. Inside a group only pairs not yet connected are compared, and a group hands on a
-tree per component: never all pairs. Copies of a fingerprint are one node.
+star per component, round its least fingerprint, so that many groups hand on the same links: never all pairs. Copies of a fingerprint are one node.
 
 A similarity that is to hold exactly is verified on the shingles: candidates are what looser bands and bits connect, and
 only documents of one candidate group meet, with the hashes of their distinct shingles.
@@ -201,19 +201,19 @@ def links(distinct: DataFrame, bands: list[np.ndarray], max_bits: int, width: in
             if len(tied):
                 yield pa.RecordBatch.from_arrays([binary(fp[tied]), binary(fp[label[tied]])], names=["a", "b"])
 
-    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a binary, b binary")
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(compare, "a binary, b binary")
 
 
 def alike(run: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], max_bits: int, least: float) -> np.ndarray:
-    """Pairs (rows of 2) that connect all rows of a run which a Jaccard similarity of `least` or more connects."""
-    label, n, pairs = np.arange(len(run)), len(run), []
+    """For each row, the first row of its run to which links of a Jaccard similarity of `least` or more connect it."""
+    label, n = np.arange(len(run)), len(run)
     size = np.fromiter(map(len, sets), np.int64, n)
     at, step = np.arange(n), 1
     while True:
         at = at[at + step < n]
         at = at[run[at] == run[at + step]]
         if not len(at):
-            return np.array(pairs, np.int64).reshape(-1, 2)
+            return label
         a = at[label[at] != label[at + step]]
         a = a[np.minimum(size[a], size[a + step]) >= least * np.maximum(size[a], size[a + step]) * (1 - 1e-9)]
         a = a[np.bitwise_count(fp[a] ^ fp[a + step]).sum(axis=1, dtype=np.int64) <= max_bits] if len(a) else a
@@ -222,7 +222,6 @@ def alike(run: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], max_bits: int
             if label[x] != label[y]:
                 both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                 if both and both / (size[x] + size[y] - both) >= least:
-                    pairs.append((x, y))
                     low, high = sorted((label[x], label[y]))
                     label[label == high] = low
         step += 1
@@ -250,11 +249,12 @@ def similar_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, shingle: i
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run, part in runs(batches, ("group", "i", "j")):
-            pairs = alike(run, as_matrix(part["fp"], 8 * words), [np.frombuffer(h.as_buffer(), np.uint64) for h in part["hashes"]], max_bits, least)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([part["digest"].take(pa.array(pairs[:, 0])), part["digest"].take(pa.array(pairs[:, 1]))], names=["a", "b"])
+            label = alike(run, as_matrix(part["fp"], 8 * words), [np.frombuffer(h.as_buffer(), np.uint64) for h in part["hashes"]], max_bits, least)
+            tied = np.flatnonzero(label != np.arange(len(label)))
+            if len(tied):
+                yield pa.RecordBatch.from_arrays([part["digest"].take(pa.array(tied)), part["digest"].take(pa.array(label[tied]))], names=["a", "b"])
 
-    return met.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(compare, "a binary, b binary")
+    return met.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "digest").mapInArrow(compare, "a binary, b binary")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 8, max_bits: int = 120, orders: int = 3, least: float = 0.8) -> DataFrame:
