@@ -34,7 +34,7 @@ from .arrow import parts_of
 from .common import stored
 from .graph import components
 
-PIVOTS, CHUNK, VERIFIED, ROUND, SEED = 16, 1024, 512, 16, 42
+PIVOTS, CHUNK, VERIFIED, ROUND, SEED = 16, 1024, 1024, 16, 42
 
 
 def remixed(h: np.ndarray, word: int) -> np.ndarray:
