@@ -128,9 +128,9 @@ def pivot_table(fp: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int64), 255) for p in pivots], axis=1).astype(np.uint8)
 
 
-def connect(run: np.ndarray, fp: np.ndarray, table: np.ndarray, max_bits: int) -> np.ndarray:
-    """For each row, the first row it is connected to by links within its run (rows of a run stand together)."""
-    label, n = np.arange(len(run)), len(run)
+def connect(run: np.ndarray, fp: np.ndarray, table: np.ndarray, max_bits: int, label: np.ndarray | None = None) -> np.ndarray:
+    """For each row, the first row it is connected to by links within its run (rows of a run stand together), and by `label` before."""
+    label, n = np.arange(len(run)) if label is None else label.copy(), len(run)
     at, step = np.arange(n), 1
     while True:
         at = at[at + step < n]
@@ -151,11 +151,22 @@ def connect(run: np.ndarray, fp: np.ndarray, table: np.ndarray, max_bits: int) -
 
 
 def met_by_chunks(rows: DataFrame, by: str) -> DataFrame:
-    """Adds i and j to rows with `chunks` (null: one): a crowded key's chunks meet two by two; the pairs inside a chunk meet on the way."""
+    """Adds chunk, i and j to rows with `chunks` (null: one): a crowded key's chunks meet two by two; the pairs inside a chunk meet on the
+    way, and the links among them are handed on where the chunk is at `home`, in one of its meetings."""
     chunks, chunk = F.coalesce("chunks", F.lit(1)), F.pmod(F.xxhash64(by), F.coalesce("chunks", F.lit(1))).cast("int")
     others = F.when(chunks == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), chunks - 1), chunk))
     met = rows.withColumn("chunk", chunk).withColumn("other", F.explode(others))
-    return met.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    return met.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other"), "home": F.col("other") == F.pmod(F.col("chunk") + 1, chunks)})
+
+
+def tied(part: pa.RecordBatch, run: np.ndarray, connected: Callable[[np.ndarray, np.ndarray | None], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and what to hang them on: those of a chunk on its first ones, where it is at home, and these on the first ones of both chunks."""
+    chunk = part["chunk"].to_numpy()
+    within = connected(np.cumsum(np.r_[True, (run[1:] != run[:-1]) | (chunk[1:] != chunk[:-1])]), None)
+    across, own = connected(run, within), np.arange(len(run))
+    home = np.flatnonzero((within != own) & part["home"].to_numpy(zero_copy_only=False))
+    first = np.flatnonzero((within == own) & (across != own))
+    return np.r_[home, first], np.r_[within[home], across[first]]
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
@@ -191,22 +202,21 @@ def links(distinct: DataFrame, bands: list[np.ndarray], max_bits: int, width: in
 
     banded = distinct.select("fp", "table").mapInArrow(band, "key long, fp binary, table binary")
     shared = banded.select("key").groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    met = met_by_chunks(banded.join(shared, "key"), "fp").select("key", "i", "j", "fp", "table")
+    met = met_by_chunks(banded.join(shared, "key"), "fp").select("key", "i", "j", "chunk", "home", "fp", "table")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run, part in runs(batches, ("key", "i", "j")):
             fp, table = as_matrix(part["fp"], width), as_matrix(part["table"], PIVOTS)
-            label = connect(run, fp, table, max_bits)
-            tied = np.flatnonzero(label != np.arange(len(label)))
-            if len(tied):
-                yield pa.RecordBatch.from_arrays([binary(fp[tied]), binary(fp[label[tied]])], names=["a", "b"])
+            a, b = tied(part, run, lambda of, label, fp=fp, table=table: connect(of, fp, table, max_bits, label))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([binary(fp[a]), binary(fp[b])], names=["a", "b"])
 
-    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(compare, "a binary, b binary")
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk", "fp").mapInArrow(compare, "a binary, b binary")
 
 
-def alike(run: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], max_bits: int, least: float) -> np.ndarray:
-    """For each row, the first row of its run to which links of a Jaccard similarity of `least` or more connect it."""
-    label, n = np.arange(len(run)), len(run)
+def alike(run: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], max_bits: int, least: float, label: np.ndarray | None = None) -> np.ndarray:
+    """For each row, the first row of its run to which links of a Jaccard similarity of `least` or more connect it, and `label` before."""
+    label, n = np.arange(len(run)) if label is None else label.copy(), len(run)
     size = np.fromiter(map(len, sets), np.int64, n)
     at, step = np.arange(n), 1
     while True:
@@ -245,16 +255,16 @@ def similar_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, shingle: i
                 yield pa.RecordBatch.from_arrays(columns, names=["group", "chunks", "digest", "fp", "hashes"])
 
     held = members.join(texts, "key").select("group", "chunks", "digest", "text").mapInArrow(gather, "group long, chunks int, digest binary, fp binary, hashes binary")
-    met = met_by_chunks(held, "digest").select("group", "i", "j", "digest", "fp", "hashes")
+    met = met_by_chunks(held, "digest").select("group", "i", "j", "chunk", "home", "digest", "fp", "hashes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run, part in runs(batches, ("group", "i", "j")):
-            label = alike(run, as_matrix(part["fp"], 8 * words), [np.frombuffer(h.as_buffer(), np.uint64) for h in part["hashes"]], max_bits, least)
-            tied = np.flatnonzero(label != np.arange(len(label)))
-            if len(tied):
-                yield pa.RecordBatch.from_arrays([part["digest"].take(pa.array(tied)), part["digest"].take(pa.array(label[tied]))], names=["a", "b"])
+            fp, sets = as_matrix(part["fp"], 8 * words), [np.frombuffer(h.as_buffer(), np.uint64) for h in part["hashes"]]
+            a, b = tied(part, run, lambda of, label, fp=fp, sets=sets: alike(of, fp, sets, max_bits, least, label))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([part["digest"].take(pa.array(a)), part["digest"].take(pa.array(b))], names=["a", "b"])
 
-    return met.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "digest").mapInArrow(compare, "a binary, b binary")
+    return met.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "chunk", "digest").mapInArrow(compare, "a binary, b binary")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 8, max_bits: int = 120, orders: int = 3, least: float = 0.8) -> DataFrame:
