@@ -28,7 +28,7 @@ def is_vendored(path: Column) -> Column:
 
 
 def max_bytes(path: Column, settings: Settings = Settings()) -> Column:
-    return F.when(F.lower(path).endswith(".ipynb"), F.lit(settings.max_notebook_bytes)).otherwise(F.lit(settings.max_file_bytes)).cast("long")
+    return F.when(F.lower(path).endswith(".ipynb"), F.lit(settings.notebook_cap)).otherwise(F.lit(settings.file_cap)).cast("long")
 
 
 def skip_reason(path: Column, size: Column, settings: Settings = Settings()) -> Column:
@@ -38,7 +38,7 @@ def skip_reason(path: Column, size: Column, settings: Settings = Settings()) ->
     for end in GENERATED:
         generated = generated | name.endswith(end)
     return (
-        F.when(~suffix_of(path).isin(*settings.extensions), "extension")
+        F.when(~suffix_of(path).isin(*settings.suffixes), "extension")
         .when(is_vendored(path), "excluded_dir")
         .when(generated, "generated")
         .when(size > max_bytes(path, settings), "too_large")

@@ -15,7 +15,7 @@ from codelode.streaming.index_stream import stored_chunks
 
 def main(questions: str, root: str, out: str, k: int = 5) -> None:
     spark = SparkSession.builder.appName("search").getOrCreate()
-    dim = Settings().embedding_dim
+    dim = Settings().vector_size
     chunks = stored_chunks(spark, root)
     asked = spark.read.parquet(questions).select("query_id", "repo", hash_embed(F.concat(F.lit(QUERY_PREFIX), "text"), dim).alias("vector"))
     hits = top_k(asked, chunks.select("id", "repo", hash_embed(F.col("embed_text"), dim).alias("embedding")), k)

@@ -69,11 +69,11 @@ def pieces(text: str, language: str, settings: Settings, count: Callable[[str],
             line, seen = line + text.count("\n", seen, start) if start >= seen else text.count("\n", 0, start) + 1, start
             out.append((bare, line, line + bare.count("\n")))
 
-    for place, part in cut_up(text, LADDERS.get(language, LADDERS["text"]), settings.chunk_tokens, count):
+    for place, part in cut_up(text, LADDERS.get(language, LADDERS["text"]), settings.piece_tokens, count):
         size = count(part)
-        if held and sum(sizes) + size > settings.chunk_tokens:
+        if held and sum(sizes) + size > settings.piece_tokens:
             give()
-            while held and (sum(sizes) > settings.chunk_overlap or sum(sizes) + size > settings.chunk_tokens):
+            while held and (sum(sizes) > settings.overlap_tokens or sum(sizes) + size > settings.piece_tokens):
                 held.pop(0)
                 sizes.pop(0)
         held.append((place, part))
@@ -135,7 +135,7 @@ def with_parents(chunks: DataFrame, settings: Settings = Settings()) -> DataFram
     """
     order = Window.partitionBy("repo", "path").orderBy("chunk_index")
     start, end = F.col("start_line"), F.col("end_line")
-    within = lambda a, b: tokens_between(F.col("lines"), a, b) <= settings.parent_tokens
+    within = lambda a, b: tokens_between(F.col("lines"), a, b) <= settings.context_tokens
     near = chunks.withColumns({"_from": F.coalesce(F.lag("start_line").over(order), start), "_to": F.coalesce(F.lead("end_line").over(order), end), "_top": top_span(F.col("units"), start, end)})
     whole = F.struct(F.lit(1).alias("a"), F.col("n_lines").alias("b"))
     neighbours = F.struct(F.col("_from").alias("a"), F.col("_to").alias("b"))
@@ -152,10 +152,10 @@ def chunk_documents(documents: DataFrame, settings: Settings = Settings(), count
     tokens = T.token_count(F.col("text"))
     live = documents.filter(F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))).withColumns({"_tokens": tokens, "units": F.coalesce("units", F.array().cast(UNITS))})
     n_lines = (F.size(F.split("text", "\n")) - F.when(F.col("text").endswith("\n"), 1).otherwise(0)).cast("int")
-    live = live.withColumns({"fits": F.col("_tokens") <= settings.parent_tokens, "n_lines": n_lines})
+    live = live.withColumns({"fits": F.col("_tokens") <= settings.context_tokens, "n_lines": n_lines})
     empty = F.array().cast("array<int>")
-    small = live.filter(F.col("_tokens") <= settings.chunk_tokens).withColumns({"_pieces": chunk_small(F.col("text")), "lines": empty})
-    large = live.filter(F.col("_tokens") > settings.chunk_tokens).withColumns({"_pieces": split_documents(live, settings, counter), "lines": F.when(~F.col("fits"), running_tokens(F.col("text"))).otherwise(empty)})
+    small = live.filter(F.col("_tokens") <= settings.piece_tokens).withColumns({"_pieces": chunk_small(F.col("text")), "lines": empty})
+    large = live.filter(F.col("_tokens") > settings.piece_tokens).withColumns({"_pieces": split_documents(live, settings, counter), "lines": F.when(~F.col("fits"), running_tokens(F.col("text"))).otherwise(empty)})
     keys = ["repo", "path", "blob_sha", "language", "units", "lines", "fits", "n_lines"]
     one = small.select(*keys, F.posexplode("_pieces").alias("chunk_index", "p")).select(*keys, "chunk_index", "p.*")
     one = one.withColumns({"parent_start_line": F.lit(1), "parent_end_line": F.col("n_lines")})

@@ -152,4 +152,6 @@ def read_documents(files: DataFrame, keys: list[str] = ["repo", "path", "blob_sh
     read = python.select(columns)
     for part in (markdown, notebook, plain):
         read = read.unionByName(part.select(columns))
-    return named.drop("text").join(read, once).select(*keys, "language", "text", F.coalesce("units", F.array().cast(UNITS)).alias("units"))
+    read = read.select(F.col("blob_sha").alias("_blob"), F.col("language").alias("_language"), F.col("text"), F.col("units"))
+    same = F.col("blob_sha").eqNullSafe(F.col("_blob")) & (F.col("language") == F.col("_language"))
+    return named.drop("text").join(read, same).select(*keys, "language", "text", F.coalesce("units", F.array().cast(UNITS)).alias("units"))

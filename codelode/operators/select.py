@@ -25,6 +25,6 @@ def skip_counts(listing: DataFrame, settings: Settings = Settings()) -> DataFram
 def size_guard(selected: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """repo, files, bytes, rejected (why, or null): a repository beyond a limit is rejected, the others go on."""
     per_repo = selected.groupBy("repo").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    files = F.concat(F.col("files").cast("string"), F.lit(f" files, the limit is {settings.max_files}"))
-    size = F.concat(F.col("bytes").cast("string"), F.lit(f" bytes, the limit is {settings.max_total_bytes}"))
-    return per_repo.withColumn("rejected", F.when(F.col("files") > settings.max_files, files).when(F.col("bytes") > settings.max_total_bytes, size))
+    files = F.concat(F.col("files").cast("string"), F.lit(f" files, the limit is {settings.repo_files}"))
+    size = F.concat(F.col("bytes").cast("string"), F.lit(f" bytes, the limit is {settings.repo_bytes}"))
+    return per_repo.withColumn("rejected", F.when(F.col("files") > settings.repo_files, files).when(F.col("bytes") > settings.repo_bytes, size))

@@ -65,7 +65,14 @@ def write(table: DataFrame, path: str, touched: DataFrame | None = None) -> None
 
     The folder that a table is read from mustn't be the one it is written to.
     """
-    rows = with_bucket(table)
-    if touched is not None:
-        rows = rows.join(with_bucket(touched).select("bucket").distinct(), "bucket", "left_semi")
-    rows.repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if touched is not None else "static").partitionBy("bucket").parquet(path)
+    rows, spark = with_bucket(table), table.sparkSession
+    dealt = lambda df: df.repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(8)))
+    if touched is None:
+        dealt(rows).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return
+    buckets = with_bucket(touched).select("bucket").distinct()
+    dealt(rows.join(buckets, "bucket", "left_semi")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    # A folder that gets no row isn't overwritten: where all rows of a bucket are gone, its folder goes (BUCKETS names at most).
+    for bucket in buckets.join(rows.select("bucket").distinct(), "bucket", "left_anti").collect():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket.bucket}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -34,7 +34,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).filter(T.token_count(F.col("text")) <= SETTINGS.chunk_tokens)
+    return documents(spark, sf_dir).filter(T.token_count(F.col("text")) <= SETTINGS.piece_tokens)
 
 
 @query(f"WITH {SMALL_SQL} SELECT repo, path, blob_sha, 0 AS chunk_index, first::INT AS start_line, last AS end_line, md5(bare) AS text_md5 FROM small")
@@ -46,7 +46,7 @@ def ch1_chunk_small(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ch2_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are too long for one chunk, cut up: place and size of each piece."""
-    large = documents(spark, sf_dir).filter(T.token_count(F.col("text")) > SETTINGS.chunk_tokens)
+    large = documents(spark, sf_dir).filter(T.token_count(F.col("text")) > SETTINGS.piece_tokens)
     cut = large.select("repo", "path", F.posexplode(chunk.split_documents(large, SETTINGS)).alias("chunk_index", "p"))
     return cut.select("repo", "path", "chunk_index", "p.start_line", "p.end_line", T.token_count(F.col("p.text")).alias("tokens"))
 
@@ -54,7 +54,7 @@ def ch2_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ch3_pieces_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every piece stands in the lines that it names."""
-    large = documents(spark, sf_dir).filter(T.token_count(F.col("text")) > SETTINGS.chunk_tokens)
+    large = documents(spark, sf_dir).filter(T.token_count(F.col("text")) > SETTINGS.piece_tokens)
     cut = large.select("repo", "path", "blob_sha", F.split("text", "\n").alias("lines"), F.explode(chunk.split_documents(large, SETTINGS)).alias("p"))
     there = F.contains(F.array_join(F.slice("lines", F.col("p.start_line"), F.col("p.end_line") - F.col("p.start_line") + 1), "\n"), F.col("p.text"))
     return cut.groupBy("repo", "path", "blob_sha").agg(F.count("*").alias("pieces"), F.count_if(~there).alias("misplaced"))
@@ -64,7 +64,7 @@ def ch3_pieces_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ch4_whole_file_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of which every chunk's parent is the whole file, because it fits."""
     docs = documents(spark, sf_dir)
-    fits = docs.filter(T.token_count(F.col("text")).between(1, SETTINGS.parent_tokens)).select("repo", "path", "blob_sha", (F.size(F.split(F.regexp_replace("text", r"\n+$", ""), "\n"))).alias("n"))
+    fits = docs.filter(T.token_count(F.col("text")).between(1, SETTINGS.context_tokens)).select("repo", "path", "blob_sha", (F.size(F.split(F.regexp_replace("text", r"\n+$", ""), "\n"))).alias("n"))
     first = chunk.chunk_documents(docs, SETTINGS).filter("chunk_index = 0")
     whole = (F.col("parent_start_line") == 1) & (F.col("parent_end_line") == F.col("n"))
     return first.join(fits, ["repo", "path", "blob_sha"]).groupBy("repo", "path", "blob_sha").agg(F.count_if(whole).alias("whole"))
@@ -144,7 +144,7 @@ def letter_counter() -> Callable[[str], int]:
 @query()
 def ud2_token_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces under another token counter: four characters a token."""
-    docs = documents(spark, sf_dir).filter(T.token_count(F.col("text")) > SETTINGS.chunk_tokens)
+    docs = documents(spark, sf_dir).filter(T.token_count(F.col("text")) > SETTINGS.piece_tokens)
     cut = docs.select("repo", "path", F.posexplode(chunk.split_documents(docs, SETTINGS, letter_counter)).alias("chunk_index", "p"))
     return cut.select("repo", "path", "chunk_index", (F.length("p.text") / 4).cast("int").alias("tokens"))
 

@@ -9,7 +9,7 @@ from ..config import Settings
 from ..functions.text import git_blob_sha
 
 #: The cap of ordinary files in these queries, so that some are too large.
-SETTINGS = Settings(max_file_bytes=20_000)
+SETTINGS = Settings(file_cap=20_000)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

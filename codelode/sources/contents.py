@@ -27,7 +27,7 @@ def read_landed(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFram
 
 
 def untar(archives: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """repo, path, content, and broken (true in a row without path for an archive that is too large or corrupt) of archives (repo, content: .tar.gz).
+    """repo, path, content, and broken (true in a row without path for an archive that is missing, too large or corrupt) of archives (repo, content: .tar.gz).
 
     Plain files only, without the first part of their path, up to the cap of a file. An archive is read as a stream, a
     member at a time.
@@ -36,14 +36,14 @@ def untar(archives: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for repo, content in zip(batch["repo"], batch["content"]):
-                if len(content) > settings.max_archive_bytes:
+                if content is None or len(content) > settings.archive_cap:
                     yield pd.DataFrame({"repo": [repo], "path": [None], "content": [None], "broken": [True]})
                     continue
                 try:
                     with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
                         for member in tar:
                             path = member.name.partition("/")[2]
-                            cap = settings.max_notebook_bytes if path.lower().endswith(".ipynb") else settings.max_file_bytes
+                            cap = settings.notebook_cap if path.lower().endswith(".ipynb") else settings.file_cap
                             if member.isfile() and path and member.size <= cap:
                                 yield pd.DataFrame({"repo": [repo], "path": [path], "content": [tar.extractfile(member).read()], "broken": [False]})
                 except (tarfile.TarError, OSError, EOFError):
@@ -57,7 +57,7 @@ def merge_contents(wanted: DataFrame, raw: DataFrame, unpacked: DataFrame, setti
 
     A broken archive's repository takes the paths that the archive hasn't given as single files.
     """
-    large = wanted.groupBy("repo").agg(F.count("*").alias("n")).filter(F.col("n") > settings.archive_threshold).select("repo")
+    large = wanted.groupBy("repo").agg(F.count("*").alias("n")).filter(F.col("n") > settings.archive_from).select("repo")
     keys = wanted.select("repo", "path")
     given = unpacked.filter("path is not null").join(large, "repo", "left_semi").join(keys, ["repo", "path"], "left_semi").select("repo", "path", "content").withColumn("via", F.lit("tarball"))
     broken = unpacked.filter("broken").select("repo").distinct().join(large, "repo", "left_semi")
@@ -85,7 +85,7 @@ def missing(wanted: DataFrame, unpacked: DataFrame, failed: DataFrame) -> DataFr
 
 def byte_guard(accepted: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """repo, bytes, aborted of accepted files (repo, size)."""
-    return accepted.groupBy("repo").agg(F.sum("size").alias("bytes")).withColumn("aborted", F.col("bytes") > settings.max_total_bytes)
+    return accepted.groupBy("repo").agg(F.sum("size").alias("bytes")).withColumn("aborted", F.col("bytes") > settings.repo_bytes)
 
 
 def fetch_report(wanted: DataFrame, outcome: DataFrame) -> DataFrame:
@@ -99,5 +99,5 @@ def failure_guard(report: DataFrame, settings: Settings = Settings()) -> DataFra
     """Adds aborted and message: more than a share of the files failed; the message lists the first five."""
     n = F.size("failed")
     first = F.transform(F.slice(F.array_sort(F.map_keys("failed")), 1, 5), lambda p: F.concat(p, F.lit(": "), F.col("failed")[p]))
-    aborted = (F.col("requested") > 0) & (n > F.col("requested") * settings.max_failed_ratio)
+    aborted = (F.col("requested") > 0) & (n > F.col("requested") * settings.failed_share)
     return report.withColumn("aborted", aborted).withColumn("message", F.when(F.col("aborted"), F.concat(n.cast("string"), F.lit(" of "), F.col("requested").cast("string"), F.lit(" files failed: "), F.array_join(first, ", "))))

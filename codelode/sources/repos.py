@@ -32,22 +32,24 @@ def explode_tree(trees: DataFrame) -> DataFrame:
     return entries.select("repo", "commit_sha", "ord", F.col("e.path").alias("path"), F.coalesce("e.size", F.lit(0)).cast("long").alias("size"), F.col("e.sha").alias("blob_sha"))
 
 
-def walk_trees(roots: DataFrame, entries: DataFrame, max_depth: int = 64) -> DataFrame:
+def walk_trees(roots: DataFrame, entries: DataFrame) -> DataFrame:
     """Files under each root, with full paths, where a listing came one directory at a time.
 
     roots: repo, tree_sha. entries: parent_sha, name, type (tree, blob or else), sha, size. A join per level; each level is
-    kept in the shared folder, so that a lost executor costs one level.
+    kept in the shared folder, so that a lost executor costs one level. A directory that lies in itself can't be walked: an error.
     """
-    level = roots.select("repo", F.col("tree_sha").alias("sha"), F.lit("").alias("prefix"))
+    level = roots.select("repo", F.col("tree_sha").alias("sha"), F.lit("").alias("prefix"), F.array("tree_sha").alias("above"))
     files = None
-    for _ in range(max_depth):
-        found = cut(level.join(entries.withColumnRenamed("sha", "entry_sha"), F.col("sha") == F.col("parent_sha")).select("repo", F.concat("prefix", "name").alias("path"), "type", F.col("entry_sha").alias("sha"), F.coalesce("size", F.lit(0)).cast("long").alias("size")))
+    while True:
+        found = cut(level.join(entries.withColumnRenamed("sha", "entry_sha"), F.col("sha") == F.col("parent_sha")).select("repo", "above", F.concat("prefix", "name").alias("path"), "type", F.col("entry_sha").alias("sha"), F.coalesce("size", F.lit(0)).cast("long").alias("size")))
         blobs = found.filter("type = 'blob'").select("repo", "path", "size", F.col("sha").alias("blob_sha"))
         files = blobs if files is None else files.unionByName(blobs)
-        level = found.filter("type = 'tree'").select("repo", "sha", F.concat("path", F.lit("/")).alias("prefix"))
+        below = found.filter("type = 'tree'")
+        if not below.filter(F.array_contains("above", F.col("sha"))).isEmpty():
+            raise ValueError("a directory lies in itself")
+        level = below.select("repo", "sha", F.concat("path", F.lit("/")).alias("prefix"), F.concat("above", F.array("sha")).alias("above"))
         if level.isEmpty():
-            break
-    return files
+            return files
 
 
 def snapshots(requests: DataFrame, repos: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -128,7 +128,7 @@ def test_notebooks(spark):
     assert got["b.ipynb"].text.split("\n")[1:4] == ["y", "# [output of cell 1]", "3"] and got["c.ipynb"].text == "not json" and not got["c.ipynb"].units
 
 
-SMALL = Settings(chunk_tokens=40, chunk_overlap=5, parent_tokens=150)
+SMALL = Settings(piece_tokens=40, overlap_tokens=5, context_tokens=150)
 
 
 def module(n: int) -> str:
@@ -159,3 +159,21 @@ def test_scopes_and_parents(spark):
     got = chunk.chunk_documents(readers.read_documents(df), SMALL).collect()
     assert got and all(r.path == "a.py" and r.scope and r.scope.startswith("def f") and f"Scope: {r.scope}" in r.embed_text for r in got)
     assert all((r.parent_start_line - 1) % 5 == 0 for r in got)
+
+
+def test_redaction_of_each_kind_in_one_text():
+    """Every kind once, each on a line of its own, and what only looks like one; the expected text is put together from parts."""
+    lines, expected = [], []
+    for kind, secret in SECRETS.items():
+        lines.append(f"a {secret} b")
+        expected.append(f"a [REDACTED:{kind}]" + "\n" * secret.count("\n") + " b")
+    for before, value, after, tag in [
+        ("postgres+x://me:", "q7WazR5tUeP", "@db.local/x", "password"), ("api_key = '", "9fK2mQ7xLw", "'", "secret"), ('{"Auth-Key" : "', "9fK2mQ7xLw", '"}', "secret"),
+        ("mail ", "jo.e+x@mail.corp.org", ", thanks", "email"), ("<", "a@b-c.de", "-x>", "email"),
+    ]:
+        lines.append(before + value + after)
+        expected.append(f"{before}[REDACTED:{tag}]{after}")
+    kept = ["http://me:changeme-please@h/x", "token = 'xxxxxxxxxxxx'", "tok = '9fK2mQ7xLw'", "secret = '9fK2mQ 7xLw'", "git@host.org:a/b", "a@mail3.example.com", "x/a@b.org", "a@b", "a@b.c1", "POSTGRES://me:q7WazR5tUeP@h"]
+    text, found = redaction.redacted("\n".join(lines + kept))
+    assert text == "\n".join(expected + kept)
+    assert found == {**dict.fromkeys(SECRETS, 1), "connection_string_password": 1, "credential_assignment": 2, "email": 2}

@@ -54,7 +54,7 @@ def test_read_landed(spark, tmp_path):
 def test_accept_and_guards(spark):
     rows = [("r", "ok.py", sha(b"x"), b"x"), ("r", "big.py", sha(b"y" * 11), b"y" * 11), ("r", "other.py", "00", b"z"), ("r", "bin.py", sha(b"\0"), b"\0")]
     df = spark.createDataFrame([(a, b, c, bytearray(d)) for a, b, c, d in rows], "repo string, path string, blob_sha string, content binary")
-    got = contents.accept(df, Settings(max_file_bytes=10)).withColumns({"size": F.octet_length("content").cast("long"), "method": F.lit("raw")})
+    got = contents.accept(df, Settings(file_cap=10)).withColumns({"size": F.octet_length("content").cast("long"), "method": F.lit("raw")})
     assert {r.path: r.refused for r in got.collect()} == {"ok.py": None, "big.py": "too_large", "other.py": "integrity_mismatch", "bin.py": "binary"}
     wanted = df.unionByName(df.limit(1).withColumn("path", F.lit("gone.py")))
     report = contents.failure_guard(contents.fetch_report(wanted, got)).first()
@@ -165,3 +165,35 @@ def test_stream_resumes(spark, tmp_path, monkeypatch):
     index_stream.index_stream(spark, landed, root).awaitTermination()
     chunks = index_stream.stored_chunks(spark, root)
     assert chunks.count() == 12 and chunks.filter("path = 'f0.py'").first().text == "x = 1"
+
+
+def test_a_bucket_that_lost_all_rows_is_emptied(spark, tmp_path):
+    from codelode.operators import store
+
+    rows = [(f"r{i}", "p", i) for i in range(40)]
+    table = spark.createDataFrame(rows, "repo string, path string, n int")
+    store.write(table, f"{tmp_path}/t")
+    gone = spark.createDataFrame([(f"r{i}",) for i in range(0, 40, 3)], "repo string")
+    after = spark.createDataFrame([r for r in rows if int(r[0][1:]) % 3], "repo string, path string, n int")
+    store.write(after, f"{tmp_path}/t", touched=gone)
+    assert sorted(r.repo for r in spark.read.parquet(f"{tmp_path}/t").collect()) == sorted(r.repo for r in after.collect())
+
+
+def test_deep_trees_and_missing_contents(spark):
+    from codelode.sources import contents, repos
+
+    entries = spark.createDataFrame([(f"t{i}", "d", "tree", f"t{i + 1}", None) for i in range(5)] + [("t5", "f.py", "blob", "b", 3)], "parent_sha string, name string, type string, sha string, size long")
+    roots = spark.createDataFrame([("r", "t0")], "repo string, tree_sha string")
+    assert [r.path for r in repos.walk_trees(roots, entries).collect()] == ["d/d/d/d/d/f.py"]
+    loop = spark.createDataFrame([("t0", "d", "tree", "t0", None)], "parent_sha string, name string, type string, sha string, size long")
+    with pytest.raises(ValueError):
+        repos.walk_trees(roots, loop)
+    assert [r.broken for r in contents.untar(spark.createDataFrame([("r", None)], "repo string, content binary")).collect()] == [True]
+
+
+def test_odd_vectors_take_no_part(spark):
+    from codelode.operators.search import top_k
+
+    chunks = spark.createDataFrame([("a", "r", [1.0, 0.0]), ("b", "r", None), ("c", "r", [1.0]), ("d", "r", [None, 1.0]), ("e", "r", [0.0, 1.0])], "id string, repo string, embedding array<double>")
+    asked = spark.createDataFrame([("q", "r", [1.0, 0.1]), ("n", "r", None)], "query_id string, repo string, vector array<double>")
+    assert [(r.query_id, r.id) for r in sorted(top_k(asked, chunks, 5).collect(), key=lambda r: r.rank)] == [("q", "a"), ("q", "e")]
