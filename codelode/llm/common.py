@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a new local one if Spark runs on this machine alone, else an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.getConf().get("spark.checkpoint.dir", None) and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
