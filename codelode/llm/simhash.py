@@ -10,7 +10,8 @@ discarded, and what is left is verified on the fingerprints.
 Pairs are looked for among fingerprints that agree on a band of bits, so that they meet by a shuffle. With `exact_bands`
 every pair within max_bits agrees on some band: no link is lost. A band value that many fingerprints share is
 dealt into chunks that meet two by two. Inside a group only pairs not yet connected are compared, and a group hands on a
-star per component, round its least fingerprint, so that many groups hand on the same links: never all pairs. Copies of a fingerprint are one node.
+star per component, round its least fingerprint, so that many groups hand on the same links: never all pairs. Where bands come
+in rounds, the later ones start from what the first connected. Copies of a fingerprint are one node.
 
 A similarity that is to hold exactly is verified on the shingles: candidates are what looser bands and bits connect, and
 only documents of one candidate group meet, with the hashes of their distinct shingles.
@@ -159,11 +160,31 @@ def met_by_chunks(rows: DataFrame, by: str) -> DataFrame:
     return met.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other"), "home": F.col("other") == F.pmod(F.col("chunk") + 1, chunks)})
 
 
-def tied(part: pa.RecordBatch, run: np.ndarray, connected: Callable[[np.ndarray, np.ndarray | None], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and what to hang them on: those of a chunk on its first ones, where it is at home, and these on the first ones of both chunks."""
-    chunk = part["chunk"].to_numpy()
-    within = connected(np.cumsum(np.r_[True, (run[1:] != run[:-1]) | (chunk[1:] != chunk[:-1])]), None)
-    across, own = connected(run, within), np.arange(len(run))
+def first_of(run: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """For each row, the first row of its run with its code."""
+    _, first, at = np.unique(run * (np.int64(code.max(initial=0)) + 1) + code, return_index=True, return_inverse=True)
+    return first[at]
+
+
+def merged(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each row, the first row to which both labellings together connect it."""
+    while True:
+        before = one
+        for by in (other, one):
+            least = np.full(len(one), len(one))
+            np.minimum.at(least, by, one)
+            one = least[by]
+        if (one == before).all():
+            return one
+
+
+def tied(part: pa.RecordBatch, run: np.ndarray, connected: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and what to hang them on: those of a chunk on its first ones, where it is at home, and these on the first ones of both chunks.
+    Rows of one `top` count as connected."""
+    chunk, top = part["chunk"].to_numpy(), part["top"].dictionary_encode().indices.to_numpy()
+    inner = np.cumsum(np.r_[True, (run[1:] != run[:-1]) | (chunk[1:] != chunk[:-1])])
+    within = connected(inner, first_of(inner, top))
+    across, own = connected(run, merged(within, first_of(run, top))), np.arange(len(run))
     home = np.flatnonzero((within != own) & part["home"].to_numpy(zero_copy_only=False))
     first = np.flatnonzero((within == own) & (across != own))
     return np.r_[home, first], np.r_[within[home], across[first]]
@@ -188,7 +209,12 @@ def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[t
 
 
 def links(distinct: DataFrame, bands: list[np.ndarray], max_bits: int, width: int) -> DataFrame:
-    """Edges (a, b) that connect what links within max_bits connect; distinct: fp, table."""
+    """Edges (a, b) that connect the tops of what links within max_bits connect; distinct: fp, table, top.
+
+    top: a name of what a fingerprint is known to be connected to; without such a column, the fingerprint itself.
+    """
+    distinct = distinct if "top" in distinct.columns else distinct.withColumn("top", F.col("fp"))
+    named = distinct.schema["top"].dataType.simpleString()
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -198,20 +224,20 @@ def links(distinct: DataFrame, bands: list[np.ndarray], max_bits: int, width: in
                     key = np.full(len(fp), i + 1, np.uint64)
                     for part in (fp & mask).view(">u8").T:  # values that meet by chance are told apart when pairs are verified
                         key = remixed(key ^ part.astype(np.uint64), i + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b["fp"], b["table"]], names=["key", "fp", "table"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b["fp"], b["table"], b["top"]], names=["key", "fp", "table", "top"])
 
-    banded = distinct.select("fp", "table").mapInArrow(band, "key long, fp binary, table binary")
+    banded = distinct.select("fp", "table", "top").mapInArrow(band, f"key long, fp binary, table binary, top {named}")
     shared = banded.select("key").groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    met = met_by_chunks(banded.join(shared, "key"), "fp").select("key", "i", "j", "chunk", "home", "fp", "table")
+    met = met_by_chunks(banded.join(shared, "key"), "fp").select("key", "i", "j", "chunk", "home", "fp", "table", "top")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run, part in runs(batches, ("key", "i", "j")):
             fp, table = as_matrix(part["fp"], width), as_matrix(part["table"], PIVOTS)
             a, b = tied(part, run, lambda of, label, fp=fp, table=table: connect(of, fp, table, max_bits, label))
             if len(a):
-                yield pa.RecordBatch.from_arrays([binary(fp[a]), binary(fp[b])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([part["top"].take(pa.array(a)), part["top"].take(pa.array(b))], names=["a", "b"])
 
-    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk", "fp").mapInArrow(compare, "a binary, b binary")
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk", "fp").mapInArrow(compare, f"a {named}, b {named}")
 
 
 def alike(run: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], max_bits: int, least: float, label: np.ndarray | None = None) -> np.ndarray:
@@ -240,9 +266,9 @@ def alike(run: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], max_bits: int
 def similar_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, shingle: int, words: int, max_bits: int, least: float) -> DataFrame:
     """Edges (a, b) of digests that connect what a Jaccard similarity of `least` or more connects inside a group.
 
-    docs: text; sets: digest, fp, key (hash of a text with these shingles); groups: node (a fingerprint), root.
+    docs: text; sets: digest, fp, key (hash of a text with these shingles); groups: fp, top (the group).
     """
-    named = sets.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("digest", "key", F.xxhash64(F.coalesce("root", "fp")).alias("group"))
+    named = sets.join(groups, "fp").select("digest", "key", F.col("top").alias("group"))
     sizes = named.groupBy("group").count().filter("count > 1").select("group", F.ceil(F.col("count") / VERIFIED).cast("int").alias("chunks"))
     members = stored(named.join(sizes, "group"))
     texts = docs.select(F.xxhash64("text").alias("key"), "text").join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
@@ -252,19 +278,19 @@ def similar_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, shingle: i
             for part in parts_of(b):
                 found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part["text"]]
                 columns = [part["group"], part["chunks"], part["digest"], pa.array([fingerprint(h, words) for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["group", "chunks", "digest", "fp", "hashes"])
+                yield pa.RecordBatch.from_arrays(columns, names=["group", "chunks", "top", "fp", "hashes"])
 
-    held = members.join(texts, "key").select("group", "chunks", "digest", "text").mapInArrow(gather, "group long, chunks int, digest binary, fp binary, hashes binary")
-    met = met_by_chunks(held, "digest").select("group", "i", "j", "chunk", "home", "digest", "fp", "hashes")
+    held = members.join(texts, "key").select("group", "chunks", "digest", "text").mapInArrow(gather, "group long, chunks int, top binary, fp binary, hashes binary")
+    met = met_by_chunks(held, "top").select("group", "i", "j", "chunk", "home", "top", "fp", "hashes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run, part in runs(batches, ("group", "i", "j")):
             fp, sets = as_matrix(part["fp"], 8 * words), [np.frombuffer(h.as_buffer(), np.uint64) for h in part["hashes"]]
             a, b = tied(part, run, lambda of, label, fp=fp, sets=sets: alike(of, fp, sets, max_bits, least, label))
             if len(a):
-                yield pa.RecordBatch.from_arrays([part["digest"].take(pa.array(a)), part["digest"].take(pa.array(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([part["top"].take(pa.array(a)), part["top"].take(pa.array(b))], names=["a", "b"])
 
-    return met.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "chunk", "digest").mapInArrow(compare, "a binary, b binary")
+    return met.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "chunk", "top").mapInArrow(compare, "a binary, b binary")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 8, max_bits: int = 120, orders: int = 3, least: float = 0.8) -> DataFrame:
@@ -279,9 +305,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, words: int = 8, max_bit
     sets = stored(marked.groupBy("digest", "fp").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")))
     prints = stored(sets.select("fp").distinct().mapInArrow(tabled(8 * words), "fp binary, table binary"))
     rounds = [bands[i : i + ROUND] for bands in shuffled_bands(64 * words, 16, orders) for i in range(0, len(bands), ROUND)]  # so few at once, for the sake of disk
-    edges = [stored(links(prints, bands, max_bits, 8 * words)) for bands in rounds]
-    groups = components(reduce(DataFrame.unionByName, edges))
-    roots = components(stored(similar_sets(docs, sets, groups, shingle, words, max_bits, least)))
+    groups = prints.withColumn("top", F.xxhash64("fp"))  # a chance collision makes two groups one candidate, which its shingles settle
+    for part in (rounds[:1], rounds[1:]):  # the first bands connect most of a group, so that the others hand on new links alone
+        found = [stored(links(groups, bands, max_bits, 8 * words)) for bands in part]
+        if found:
+            groups = stored(groups.join(components(reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "top"), "top", "left").select("fp", "table", F.coalesce("root", "top").alias("top")))
+    roots = components(stored(similar_sets(docs, sets, groups.select("fp", "top"), shingle, words, max_bits, least)))
     linked = stored(roots.join(sets.select(F.col("digest").alias("node"), "first"), "node"))
     leasts = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(leasts, "root").select(F.col("node").alias("digest"), "least")
