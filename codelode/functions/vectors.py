@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def bucket_of(word: Column, dim: int) -> Column:
-    """MD5 of a word as a 128-bit number, modulo dim."""
-    digits = F.split(F.md5(word.cast("binary")), "")
-    return F.aggregate(digits, F.lit(0), lambda a, d: (a * 16 + F.conv(d, 16, 10).cast("int")) % dim)
+    """MD5 of a word as a 128-bit number, modulo dim (below 2^30): eight digits at a time."""
+    digest = F.md5(word.cast("binary"))
+    parts = F.array(*[F.conv(F.substring(digest, i, 8), 16, 10).cast("long") for i in (1, 9, 17, 25)])
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, d: (a * (2**32 % dim) + d) % dim).cast("int")
 
 
 def words_of(text: Column) -> Column:

@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,8 +118,15 @@ def tokens_between(lines: Column, first: Column, last: Column) -> Column:
 
 def running_tokens(text: Column) -> Column:
     """Tokens of the first line, the first two lines, and so on (white space counts alike whether lines are joined or not)."""
-    counts = F.transform(F.split(text, "\n"), T.token_count)
-    return F.aggregate(counts, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(n + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
+
+    @F.arrow_udf("array<int>")
+    def sums(counts: pa.Array) -> pa.Array:
+        lines, total = counts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.cumsum(np.r_[0, counts.flatten().to_numpy(zero_copy_only=False)])
+        ends = np.cumsum(np.r_[0, lines])
+        rows = pa.array((total[1:] - np.repeat(total[ends[:-1]], lines)).astype(np.int32))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rows, mask=counts.is_null())
+
+    return sums(F.transform(F.split(text, "\n"), lambda x: T.token_count(x).cast("int")))
 
 
 def top_span(units: Column, start: Column, end: Column) -> Column:
@@ -155,7 +164,7 @@ def chunk_documents(documents: DataFrame, settings: Settings = Settings(), count
     live = live.withColumns({"fits": F.col("_tokens") <= settings.context_tokens, "n_lines": n_lines})
     empty = F.array().cast("array<int>")
     small = live.filter(F.col("_tokens") <= settings.piece_tokens).withColumns({"_pieces": chunk_small(F.col("text")), "lines": empty})
-    large = live.filter(F.col("_tokens") > settings.piece_tokens).withColumns({"_pieces": split_documents(live, settings, counter), "lines": F.when(~F.col("fits"), running_tokens(F.col("text"))).otherwise(empty)})
+    large = live.filter(F.col("_tokens") > settings.piece_tokens).withColumns({"_pieces": split_documents(live, settings, counter), "lines": F.coalesce(running_tokens(F.when(~F.col("fits"), F.col("text"))), empty)})
     keys = ["repo", "path", "blob_sha", "language", "units", "lines", "fits", "n_lines"]
     one = small.select(*keys, F.posexplode("_pieces").alias("chunk_index", "p")).select(*keys, "chunk_index", "p.*")
     one = one.withColumns({"parent_start_line": F.lit(1), "parent_end_line": F.col("n_lines")})

@@ -4,21 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import QUERY_PREFIX
-from ..functions.vectors import bucket_of, has_dim, l2_normalize, words_of
+from ..functions.vectors import bucket_of, has_dim, words_of
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
 def hash_embed(text: Column, dim: int) -> Column:
-    """Counts of words by hash bucket, to unit length. A text with no words gives zeros."""
-    places = F.transform(words_of(text), lambda w: bucket_of(w, dim))
-    counts = lambda a: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double"))
-    return l2_normalize(F.element_at(F.transform(F.array(places), counts), 1))
+    """Counts of words by hash bucket, to unit length. A text with no words gives zeros; null stays null.
+
+    Each word is hashed and counted once: the counts of a batch of texts are one histogram.
+    """
+
+    @F.arrow_udf("array<double>")
+    def unit(places: pa.Array) -> pa.Array:
+        found, texts = places.flatten().to_numpy(zero_copy_only=False), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(places)), texts)
+        table = np.bincount(row * dim + found.astype(np.int64), minlength=len(places) * dim).astype(float).reshape(-1, dim)
+        norms = np.sqrt((table * table).sum(axis=1, keepdims=True))
+        ends = pa.array(np.arange(len(places) + 1, dtype=np.int32) * dim)
+        return pa.ListArray.from_arrays(ends, pa.array((table / np.where(norms > 0, norms, 1)).ravel()), mask=places.is_null())
+
+    return unit(F.transform(words_of(text), lambda w: bucket_of(w, dim)))
 
 
 def hash_embed_rows(texts: DataFrame, key: list[str], text: str, dim: int) -> DataFrame:

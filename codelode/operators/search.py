@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 
-#: Questions of a repository that meet its chunks at once.
-BLOCK = 1024
+#: Questions of a repository that meet its chunks at once, and about so many of its chunks.
+BLOCK, SLICE = 1024, 8192
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
@@ -18,21 +18,22 @@ def best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int, slices: int = 16) -> DataFrame:
+def top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """query_id, rank, id, repo, score (cosine; 0 with a zero vector): the k best chunks of the question's repository, ties by id.
 
     queries: query_id, repo, vector; chunks: id, repo, embedding. Vectors that are null, hold a null, or haven't the questions' usual
-    dimension take no part. A repository's chunks are dealt into slices, each slice meets
+    dimension take no part. A repository's chunks are dealt into slices by their number, each slice meets
     the repository's questions in blocks, and hands on its k best per question, so that only those are shuffled again.
     """
     queries = queries.select(*[F.col(c).alias(c) for c in ("query_id", "repo", "vector")])  # apart from chunks, where both come from one table
     usual = queries.select(F.mode(F.size("vector"), True).alias("d")).first().d if queries.columns else None
     sound = lambda c: F.coalesce(F.size(c) == F.lit(usual), F.lit(False)) & ~F.coalesce(F.exists(c, lambda x: x.isNull()), F.lit(True))
+    slices = chunks.groupBy("repo").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("_slices"))
     queries, chunks = queries.filter(sound("vector")), chunks.filter(sound("embedding"))
     left = queries.select("query_id", "repo", "vector", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)).alias("_h"))
-    blocks = left.groupBy("repo").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    left = left.join(blocks, "repo").select("query_id", "repo", "vector", (F.col("_h") % F.col("_blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    right = chunks.join(blocks, "repo").select("id", "repo", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_blocks") - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
+    blocks = left.groupBy("repo").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).join(slices, "repo")
+    left = left.join(blocks, "repo").select("query_id", "repo", "vector", (F.col("_h") % F.col("_blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("slice"))
+    right = chunks.join(blocks, "repo").select("id", "repo", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_blocks") - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int").alias("slice"))
     keys = ["repo", "block", "slice"]
     id_type, query_type = chunks.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..jobs.shared import cut
 from ..operators import search
+from ..operators.chunk import chunk_documents
 from ..operators.embed import hash_embed
 from .chunks import DIM, SMALL_SQL, BUCKET_SQL, small_documents
 from .fixtures import SETTINGS, table
@@ -60,9 +62,7 @@ COUNTS_SQL = """{0} AS (SELECT k, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY
   s AS (SELECT qs.k AS query_id, sr.k AS id, sr.repo, coalesce((SELECT sum(cv.w * qv.w) FROM cv JOIN qv USING (bucket) WHERE cv.k = sr.k AND qv.k = qs.k), 0) AS score FROM qs JOIN sr USING (repo))
 SELECT query_id, rank::INT AS rank, id, repo, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 5""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small documents selected, chunked and embedded by hash; the five best chunks of a repository for each benchmark text."""
-    from ..operators.chunk import chunk_documents
-
-    chunks = chunk_documents(small_documents(spark, sf_dir), SETTINGS).select("id", "repo", hash_embed(F.col("embed_text"), DIM).alias("embedding")).dropDuplicates(["id"])
+    """Small documents selected, chunked and embedded by hash, their vectors stored; the five best chunks of a repository for each benchmark text."""
+    chunks = cut(chunk_documents(small_documents(spark, sf_dir), SETTINGS).dropDuplicates(["id"]).select("id", "repo", hash_embed(F.col("embed_text"), DIM).alias("embedding")))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("acme__src"), (F.col("item_id") % 20).cast("string")).alias("repo"), hash_embed(F.col("text"), DIM).alias("vector"))
     return search.top_k(asked, chunks, 5).withColumn("score", F.round("score", 6))

@@ -2,12 +2,13 @@
 
 Each micro-batch of landed files (repo, path, blob_sha, text) is compared with the ledger; new and changed files are read,
 redacted and chunked, their chunks appended, and only then does the ledger name them. A batch that is run again after
-a crash finds its files in the ledger, or writes the same chunks under the same ids: readers keep the newest by id.
+a crash finds its files in the ledger, or writes the same chunks under the same ids: readers keep the newest by id. Of several
+versions of a path in one batch the one that landed last holds (by time and name of the file, then its place there).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -34,7 +35,9 @@ def stored_chunks(spark: SparkSession, root: str) -> DataFrame:
 def process(root: str, settings: Settings):
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(["repo", "path", "blob_sha"]).join(ledger(spark, root), ["repo", "path", "blob_sha"], "left_anti")
+        last = Window.partitionBy("repo", "path").orderBy(F.desc("landed"))
+        newest = batch.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "landed")
+        new = newest.join(ledger(spark, root), ["repo", "path", "blob_sha"], "left_anti")
         chunks = chunk_documents(redact_documents(read_documents(new)), settings)
         chunks.write.mode("append").parquet(f"{root}/chunks")
         new.select("repo", "path", "blob_sha", F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(f"{root}/ledger")
@@ -46,5 +49,6 @@ def index_stream(spark: SparkSession, landed: str, root: str, settings: Settings
     """Indexes Parquet files of FILES that are in `landed`, from where the last run stopped, and ends when there are none left."""
     spark.createDataFrame([], LEDGER).write.mode("append").parquet(f"{root}/ledger")
     source = spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_batch).parquet(landed)
-    writer = source.writeStream.foreachBatch(process(root, settings)).option("checkpointLocation", f"{root}/progress")
+    landing = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
+    writer = source.withColumn("landed", landing).writeStream.foreachBatch(process(root, settings)).option("checkpointLocation", f"{root}/progress")
     return writer.trigger(availableNow=True).start()

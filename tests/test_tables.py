@@ -197,3 +197,34 @@ def test_odd_vectors_take_no_part(spark):
     chunks = spark.createDataFrame([("a", "r", [1.0, 0.0]), ("b", "r", None), ("c", "r", [1.0]), ("d", "r", [None, 1.0]), ("e", "r", [0.0, 1.0])], "id string, repo string, embedding array<double>")
     asked = spark.createDataFrame([("q", "r", [1.0, 0.1]), ("n", "r", None)], "query_id string, repo string, vector array<double>")
     assert [(r.query_id, r.id) for r in sorted(top_k(asked, chunks, 5).collect(), key=lambda r: r.rank)] == [("q", "a"), ("q", "e")]
+
+
+def test_hash_embed_and_running_tokens_by_plain_loops(spark):
+    import hashlib
+    import math
+    import re
+
+    from codelode.operators.chunk import running_tokens
+
+    texts = ["water river water", "", None, "a\n\nb c\n", "ÄÖ Kelvin x_1 x_1 " + "w " * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1)
+    for r in rows.select("t", embed.hash_embed(F.col("t"), 384).alias("v"), running_tokens(F.col("t")).alias("n")).collect():
+        if r.t is None:
+            assert r.v is None and r.n is None
+            continue
+        counts = [0] * 384
+        for w in re.findall("[a-z0-9_]+", r.t.lower()):
+            counts[int(hashlib.md5(w.encode()).hexdigest(), 16) % 384] += 1
+        norm = math.sqrt(sum(c * c for c in counts)) or 1
+        assert r.v == pytest.approx([c / norm for c in counts])
+        lines = r.t.split("\n")
+        assert r.n == [sum(len(x.split()) for x in lines[: i + 1]) for i in range(len(lines))]
+
+
+def test_the_version_that_landed_last_holds(spark, tmp_path):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "index")
+    rows = [("r", "a.py", "old", "x = 1\n"), ("r", "a.py", "new", "x = 2\n"), ("r", "b.py", "only", "y = 1\n")]
+    spark.createDataFrame(rows, index_stream.FILES).coalesce(1).write.parquet(landed)
+    index_stream.index_stream(spark, landed, root).awaitTermination()
+    assert {(r.path, r.blob_sha) for r in index_stream.ledger(spark, root).collect()} == {("a.py", "new"), ("b.py", "only")}
+    assert {(r.path, r.text) for r in index_stream.stored_chunks(spark, root).collect()} == {("a.py", "x = 2"), ("b.py", "y = 1")}
