@@ -1,4 +1,4 @@
-"""Indexes landed files: spark-submit codelode/jobs/index.py LANDED ROOT (Parquet files of repo, path, blob_sha, text; the index's folder)."""
+"""Indexes snapshots: spark-submit codelode/jobs/index.py HEADS LISTING CONTENTS ROOT (Parquet, columns as in index_run.run; the index's folder)."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from codelode.streaming.index_stream import index_stream
+from codelode.jobs.index_run import run
 
 
-def main(landed: str, root: str) -> None:
+def main(heads: str, listing: str, contents: str, root: str) -> None:
     spark = SparkSession.builder.appName("index").getOrCreate()
-    index_stream(spark, landed, root).awaitTermination()
+    run(spark.read.parquet(heads), spark.read.parquet(listing), spark.read.parquet(contents), root).write.mode("append").parquet(f"{root}/runs")
 
 
 if __name__ == "__main__":
-    main(*sys.argv[1:3])
+    main(*sys.argv[1:5])

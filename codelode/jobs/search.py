@@ -8,17 +8,17 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from codelode.config import QUERY_PREFIX, Settings
+from codelode.jobs.index_run import stored_table
 from codelode.operators.embed import hash_embed
 from codelode.operators.search import expand_parents, top_k
-from codelode.streaming.index_stream import stored_chunks
 
 
 def main(questions: str, root: str, out: str, k: int = 5) -> None:
     spark = SparkSession.builder.appName("search").getOrCreate()
     dim = Settings().vector_size
-    chunks = stored_chunks(spark, root)
+    chunks = stored_table(spark, root, "chunks")
     asked = spark.read.parquet(questions).select("query_id", "repo", hash_embed(F.concat(F.lit(QUERY_PREFIX), "text"), dim).alias("vector"))
-    hits = top_k(asked, chunks.select("id", "repo", hash_embed(F.col("embed_text"), dim).alias("embedding")), k)
+    hits = top_k(asked, chunks.select("id", "repo", "embedding"), k)
     placed = hits.join(chunks.select("id", "path", "parent_start_line", "parent_end_line"), "id")
     expand_parents(placed, chunks).join(hits, ["query_id", "rank"]).write.mode("overwrite").parquet(out)
 
