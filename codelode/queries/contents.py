@@ -59,7 +59,7 @@ def fil6_decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{ALL_SQL} SELECT repo, sum(bytes)::BIGINT AS bytes, sum(bytes) > 40000 AS aborted FROM outcome WHERE refused IS NULL GROUP BY repo")
 def ag3_byte_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contents.byte_guard(outcome(spark, sf_dir).filter("refused is null"), replace(SETTINGS, max_total_bytes=40_000))
+    return contents.byte_guard(outcome(spark, sf_dir).filter("refused is null"), replace(SETTINGS, repo_bytes=40_000))
 
 
 FAILED_SQL = "string_agg(CASE WHEN refused IS NOT NULL THEN path || ': ' || refused END, ', ' ORDER BY path)"
@@ -76,7 +76,7 @@ def ag4_fetch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT repo, requested, bad > requested * 0.1 AS aborted, CASE WHEN bad > requested * 0.1 THEN bad || ' of ' || requested || ' files failed: ' || array_to_string(l[1:5], ', ') END AS message FROM g""")
 def ag5_failure_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = contents.fetch_report(select.select_files(listing(spark, sf_dir), SETTINGS), outcome(spark, sf_dir))
-    return contents.failure_guard(report, replace(SETTINGS, max_failed_ratio=0.1)).select("repo", "requested", "aborted", "message")
+    return contents.failure_guard(report, replace(SETTINGS, failed_share=0.1)).select("repo", "requested", "aborted", "message")
 
 
 @query(f"""{ALL_SQL} SELECT repo, path, CASE WHEN refused IS NOT NULL THEN refused ELSE 'missing_in_archive' END AS reason FROM outcome WHERE refused IS NOT NULL OR ord % 5 = 2""")
@@ -120,6 +120,6 @@ def src7_merge_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed = files.select("repo", F.concat("path", F.lit("#"), F.col("ord").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"))
     odd, ends = F.regexp_extract("path", r"#(\d+)$", 1).cast("long") % 2 == 1, F.col("repo").endswith("5")
     unpacked = landed.filter(~(odd & ends)).withColumn("broken", F.lit(False)).unionByName(landed.filter(ends).select("repo", F.lit(None).cast("string").alias("path"), F.lit(None).cast("binary").alias("content"), F.lit(True).alias("broken")).distinct())
-    merged = contents.merge_contents(landed.drop("content"), landed, unpacked, replace(SETTINGS, archive_threshold=25))
+    merged = contents.merge_contents(landed.drop("content"), landed, unpacked, replace(SETTINGS, archive_from=25))
     return merged.select("repo", F.regexp_extract("path", r"^(.*)#\d+$", 1).alias("path"), F.regexp_extract("path", r"#(\d+)$", 1).cast("long").alias("ord"), "via", "method")
 

@@ -102,7 +102,7 @@ SELECT *, CASE WHEN files > 25 THEN files || ' files, the limit is 25' WHEN byte
 def ag2_size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dataclasses import replace
 
-    return select.size_guard(select.select_files(listing(spark, sf_dir), SETTINGS), replace(SETTINGS, max_files=25, max_total_bytes=60_000))
+    return select.size_guard(select.select_files(listing(spark, sf_dir), SETTINGS), replace(SETTINGS, repo_files=25, repo_bytes=60_000))
 
 
 @query(f"""WITH {LISTING_SQL} SELECT path, ord, coalesce(map_extract(MAP {{'.py': 'python', '.js': 'javascript', '.ts': 'typescript', '.tsx': 'typescript', '.md': 'markdown', '.ipynb': 'notebook'}},
