@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import seeded, table
+from .infilling import fill_in_middle, restored
 from .langid import identify, learn
 from .mixing import mix, repeating_weights
 from .packing import pack
@@ -95,6 +96,12 @@ def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, tokenizer_file())
 
 
+def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a task of filling in its middle, or plain, and the text rebuilt from it."""
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
@@ -106,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_spans": op8_spans,
     "op9_ann": op9_ann,
     "op10_tokencount": op10_tokencount,
+    "op11_infilling": op11_infilling,
 }
 
 #: The other queries need XXH64, seeded draws, Viterbi, trained weights or tokens, which SQL hasn't.
@@ -122,4 +130,12 @@ WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(text, '(?s).*?(?:[.!?]\
 SELECT d.doc_id, coalesce(len(l.l), 0)::BIGINT AS n_sentences, coalesce(n_removed, 0) AS n_removed, sha256(CASE WHEN n_removed IS NULL THEN coalesce(d.text, '') ELSE coalesce(kept, '') END) AS kept_sha256,
   CASE WHEN n_removed IS NULL THEN d.text ELSE coalesce(kept, '') END AS text
 FROM documents d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_infilling": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+  u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, [('0x' || h[8 * i + 1:8 * i + 8])::BIGINT for i in range(4)] AS h FROM d),
+  k AS (SELECT doc_id, t, u, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+  c AS (SELECT doc_id, t, n, form, array_to_string(u[:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM k)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM c""",
 }

@@ -22,6 +22,7 @@ TYPES = {
     "op8_spans": "doc_id bigint, n_sentences bigint, n_removed bigint, kept_sha256 string, text string",
     "op9_ann": "query_id bigint, rank int, vec_id bigint, score double",
     "op10_tokencount": "doc_id bigint, n_edits bigint, tokens_before bigint, tokens_after bigint, chars_after bigint",
+    "op11_infilling": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
 }
 
 
@@ -84,3 +85,18 @@ def test_token_counts_of_edits(spark, found):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     for r in found["op10_tokencount"].collect():
         assert r.tokens_before == len(t.encode(texts[r.doc_id], add_special_tokens=False).ids) and r.n_edits == 4
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, found, name):
+    import glob
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    sql = con.sql(queries.ORACLES[name])
+    assert sorted(found[name].columns) == sorted(sql.columns)
+    assert Counter(map(tuple, found[name].select(sql.columns).collect())) == Counter(sql.fetchall())
