@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .collocations import collocations
 from .common import seeded, table
 from .infilling import fill_in_middle, restored
 from .langid import identify, learn
 from .mixing import mix, repeating_weights
 from .packing import pack
 from .quality import classify
+from .secretscan import base_only, find_secrets, number_of, written
 from .simhash import exact_bands, near_duplicates
 from .spans import without_repeats
 from .suffixes import without_earlier_strings
@@ -102,6 +104,19 @@ def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document that look like secrets: three patterns, and strings of sensitive places that can't be compressed."""
+    spans = F.col("spans")
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [number_of(spans, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex", "novel")]
+    return found.select("doc_id", *counts, F.sha2(written(base_only(spans)), 256).alias("base_sha256"), written(spans).alias("spans"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest collocations of each language: phrases of 2 to 5 words that occur 100 times or more."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
@@ -114,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ann": op9_ann,
     "op10_tokencount": op10_tokencount,
     "op11_infilling": op11_infilling,
+    "op12_secrets": op12_secrets,
+    "op13_collocations": op13_collocations,
 }
 
 #: The other queries need XXH64, seeded draws, Viterbi, trained weights or tokens, which SQL hasn't.
@@ -138,4 +155,17 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_
   c AS (SELECT doc_id, t, n, form, array_to_string(u[:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM k)
 SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
   sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM c""",
+    "op13_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents WHERE text IS NOT NULL),
+  w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+  g AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+  f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+  n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+  c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+  inside AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN (SELECT lang, a, unnest(flatten([[array_to_string(w[i:i + j - 1], ' ') for i in range(1, k - j + 2)] for j in range(2, k)])) AS phrase FROM c) AS s ON c.lang = s.lang AND c.phrase = s.phrase AND 100 * s.a >= 100 * c.a),
+  cut AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS cut FROM c ANTI JOIN inside USING (lang, phrase)),
+  parts AS (SELECT lang, phrase, a, cut, array_to_string(w[:cut], ' ') AS p1, array_to_string(w[cut + 1:], ' ') AS p2 FROM cut),
+  s AS (SELECT parts.lang, parts.phrase, a, cut, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n // (l.f::HUGEINT * r.f))::BIGINT AS score FROM parts JOIN n ON n.lang = parts.lang JOIN f AS l ON l.lang = parts.lang AND l.phrase = p1 JOIN f AS r ON r.lang = parts.lang AND r.phrase = p2),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM s) WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b) WHERE rank <= 2000""",
 }

@@ -23,6 +23,8 @@ TYPES = {
     "op9_ann": "query_id bigint, rank int, vec_id bigint, score double",
     "op10_tokencount": "doc_id bigint, n_edits bigint, tokens_before bigint, tokens_after bigint, chars_after bigint",
     "op11_infilling": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
+    "op12_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op13_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
 }
 
 
