@@ -3,7 +3,8 @@
 1. Sketch. Every task hashes the phrases of its texts into two rows of counters that stop at the least frequency; blocks of counters are
    summed where they meet. A counter that stays below bounds all phrases that fall on it. Single words and pairs come first; longer
    phrases are hashed only where all their pairs are still possible.
-2. Candidates. Phrases (and single words) that no counter rules out are gathered without repeats. None that reaches the least frequency can be missing.
+2. Candidates. The longest phrases that no counter rules out are gathered without repeats, and all their parts with them. None that
+   reaches the least frequency can be missing.
 3. Automata. Candidates, dealt by a hash into batches of bounded size, are compiled into Aho-Corasick automata, one per language
    and batch. Words are guarded by blanks, and pieces of a text kept apart by a line feed, so matches are whole words
    of one piece; all matches, overlapping ones too, are counted in every shard of the texts, and summed.
@@ -37,7 +38,9 @@ BYTES_A_CELL, FEWEST_CELLS, MOST_CELLS = 64, 1 << 16, 1 << 26
 #: Counters of a block; insertions between two looks at counters that are full; phrases that a task remembers.
 BLOCK, STEP, REMEMBERED = 4_096, 50_000, 100_000
 #: Candidates of a batch, on average.
-BATCH = 100_000
+BATCH = 150_000
+#: Bytes of text of a task, where there are tasks enough: what it hands on (counters, candidates, counts) hardly grows with what it reads.
+TASK_BYTES = 1 << 30
 #: Upper-case letters to lower-case ones, marks that end a piece to line feeds, tabs to blanks.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 BLANKS, PIECE = re.compile(rb"  +"), re.compile(rb" ?\n[ \n]*")
@@ -207,12 +210,13 @@ def sketched(texts: DataFrame, cells: int, least: int, most_words: int, known: d
 
 
 def possible_phrases(texts: DataFrame, cells: int, most_words: int, known: dict[int, np.ndarray]) -> DataFrame:
-    """lang, phrase of what no counter rules out, once per task and sometimes more; and rows without phrase that count the words (n)."""
+    """lang, phrase: of what no counter rules out, the longest phrase of two words or more at each place, once per task and sometimes more;
+    and rows without phrase that count the words (n)."""
     told = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         possible, counts, found = Possible(cells, told.value), Counter(), set()
-        seen = np.zeros(1 << 18, np.uint64)
+        seen = np.zeros(1 << 20, np.uint64)
 
         def rows(langs: list[str], phrases: list[bytes | None], n: list[int | None]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
@@ -220,12 +224,17 @@ def possible_phrases(texts: DataFrame, cells: int, most_words: int, known: dict[
         for lang, data in by_language(batches):
             words = Words(data, seed_of(lang))
             counts[lang] += int(words.ok.sum())
-            for k, (at, h) in possible.phrases(words, most_words).items():
-                slot = (h & np.uint64(len(seen) - 1)).astype(np.int64)
-                new = seen[slot] != h  # a phrase that was seen last in its place is left out
-                seen[slot[new]] = h[new]
-                at = at[new]
-                found.update((lang, data[a:b]) for a, b in zip(words.starts[at].tolist(), words.ends[at + k - 1].tolist()))
+            part_of_longer = np.zeros(len(words.numbers), bool)
+            for k, (at, h) in reversed(possible.phrases(words, most_words).items()):
+                longest = ~part_of_longer[at]
+                part_of_longer[at] = True
+                if k > 1:
+                    at, h = at[longest], h[longest]
+                    slot = (h & np.uint64(len(seen) - 1)).astype(np.int64)
+                    new = seen[slot] != h  # a phrase that was seen last in its place is left out
+                    seen[slot[new]] = h[new]
+                    at = at[new]
+                    found.update((lang, data[a:b]) for a, b in zip(words.starts[at].tolist(), words.ends[at + k - 1].tolist()))
             if len(found) >= REMEMBERED:
                 yield rows([x for x, _ in found], [x for _, x in found], [None] * len(found))
                 found.clear()
@@ -234,6 +243,13 @@ def possible_phrases(texts: DataFrame, cells: int, most_words: int, known: dict[
     return stored(texts.mapInArrow(run, "lang string, phrase string, n long"))
 
 
+def with_parts(phrases: DataFrame) -> DataFrame:
+    """lang, phrase of all phrases and of the shorter ones and single words inside them, without repeats."""
+    words = F.split("phrase", " ")
+    inside = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda k: F.array_join(F.slice(words, i, k), " ")))
+    return phrases.select("lang", "phrase").distinct().select("lang", F.explode(F.flatten(inside)).alias("phrase")).distinct()
+
+
 def counted(texts: DataFrame, candidates: DataFrame, least: int) -> DataFrame:
     """lang, phrase, f: the exact number of occurrences of the candidates (lang, phrase) with `least` or more."""
     spark = texts.sparkSession
@@ -280,6 +296,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text <> ''")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = texts.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
     cells = min(MOST_CELLS, max(FEWEST_CELLS, 1 << (size // BYTES_A_CELL).bit_length()))
     full = min(least, 255)  # a counter is a byte
     known = sketched(texts, cells, full, most_words, {})
@@ -287,7 +304,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
         known = sketched(texts, cells, full, most_words, known)
     found = possible_phrases(texts, cells, most_words, known)
     n = found.filter("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    f = stored(counted(texts, found.filter("phrase is not null").select("lang", "phrase").distinct(), least).withColumn("k", F.size(F.split("phrase", " "))))
+    f = stored(counted(texts, stored(with_parts(found.filter("phrase is not null"))), least).withColumn("k", F.size(F.split("phrase", " "))))
     return ranked(scored(f, n), top)
 
 
