@@ -44,9 +44,9 @@ def job_event(job: str, repo: Column, status: str, **fields: Column) -> list[Col
     return [F.lit(job).alias("id"), repo.alias("repo"), F.lit(status).alias("status"), *[v.alias(k) for k, v in fields.items()], F.current_timestamp().alias("updated_at")]
 
 
-def current_jobs(events: DataFrame) -> DataFrame:
-    """The newest event of each job (id, updated_at, seq, ...)."""
-    newest = Window.partitionBy("id").orderBy(F.desc("updated_at"), F.desc("seq"))
+def current_jobs(events: DataFrame, keys: list[str] = ["id"]) -> DataFrame:
+    """The newest event of each job (keys, updated_at, seq, ...)."""
+    newest = Window.partitionBy(*keys).orderBy(F.desc("updated_at"), F.desc("seq"))
     return events.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 

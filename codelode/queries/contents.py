@@ -87,6 +87,20 @@ def jn3_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contents.missing(found, found.filter("ord % 5 <> 2").select("repo", "path"), failed)
 
 
+@query(f"""{ALL_SQL}, k AS (SELECT repo, path || '#' || ord AS path, bytes, CASE WHEN ord % 23 = 9 THEN 'not_found' ELSE refused END AS reason FROM outcome),
+  g AS (SELECT repo, count(*) AS requested, count(reason) AS failed, coalesce(sum(bytes) FILTER (WHERE reason IS NULL), 0) AS bytes, list(path || ': ' || reason ORDER BY path) FILTER (WHERE reason IS NOT NULL) AS l FROM k GROUP BY repo),
+  a AS (SELECT repo, CASE WHEN bytes > 60000 THEN bytes || ' bytes, the limit is 60000' ELSE failed || ' of ' || requested || ' files failed: ' || array_to_string(l[1:5], ', ') END AS message FROM g WHERE bytes > 60000 OR failed > requested * 0.2)
+SELECT 'accepted' AS kind, repo, path, NULL AS detail FROM k ANTI JOIN a USING (repo) WHERE reason IS NULL UNION ALL SELECT 'quarantined', repo, path, reason FROM k WHERE reason IS NOT NULL UNION ALL SELECT 'aborted', repo, NULL, message FROM a""")
+def fil4_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents with wrong hashes, binaries and missing ones, in repositories of which some have too many of them and some too many bytes."""
+    files = fetched(spark, sf_dir).withColumn("path", F.concat_ws("#", "path", F.col("ord").cast("string")))
+    settings = replace(SETTINGS, repo_bytes=60_000)
+    accepted, quarantined, aborted = contents.guarded(files, files.filter("ord % 23 <> 9"), settings)
+    row = lambda df, kind, path, detail: df.select(F.lit(kind).alias("kind"), "repo", path.alias("path"), detail.alias("detail"))
+    none = F.lit(None).cast("string")
+    return row(accepted, "accepted", F.col("path"), none).unionByName(row(quarantined, "quarantined", F.col("path"), F.col("reason"))).unionByName(row(aborted, "aborted", none, F.col("message")))
+
+
 def archives(files: DataFrame) -> DataFrame:
     """An archive per repository of files (repo, path, text): repo, content."""
 

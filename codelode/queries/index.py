@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..operators import index
 from ..operators.select import select_files
 from .fixtures import LISTING2_SQL, LISTING_SQL, SELECTED2_SQL, SELECTED_SQL, SETTINGS, listing, listing2, table
@@ -105,3 +108,44 @@ def ag11_repo_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = old_and_new(spark, sf_dir)[1]
     heads = new.select("repo", "commit_sha").distinct()
     return index.repo_records(heads, new, new.filter("ord % 70 = 1"))
+
+
+#: README files again, each in a folder of its own, so that their names keep their suffix.
+OWN_SQL = r"regexp_replace(path, '^(.*)README\.md#(\d+)$', 'd\2/\1README.md')"
+RUN_SQL = f"""s1 AS (SELECT repo, {OWN_SQL} AS path, blob_sha FROM o WHERE path NOT LIKE '%.ipynb'), s2 AS (SELECT repo, {OWN_SQL} AS path, blob_sha, ord FROM n WHERE path NOT LIKE '%.ipynb'),
+  lost AS (SELECT repo, path FROM s2 ANTI JOIN s1 USING (repo, path, blob_sha) WHERE ord % 31 = 4),
+  kept AS (SELECT repo, path, coalesce(s1.blob_sha, s2.blob_sha) AS blob_sha FROM s2 LEFT JOIN s1 USING (repo, path) WHERE (repo, path) IN (SELECT (repo, path) FROM lost) AND s1.blob_sha IS NOT NULL
+    UNION ALL SELECT repo, path, blob_sha FROM s2 WHERE (repo, path) NOT IN (SELECT (repo, path) FROM lost))"""
+
+
+@query(f"""WITH {BOTH_SQL}, {RUN_SQL}, h AS (SELECT repo FROM s2 UNION SELECT repo FROM s1), bad AS (SELECT repo, count(*) AS bad FROM lost GROUP BY repo), c AS (SELECT repo, count(*) AS selected FROM s2 GROUP BY repo)
+SELECT 'ledger' AS kind, repo, path, blob_sha AS value FROM kept
+UNION ALL SELECT 'chunk', repo, path, blob_sha FROM kept
+UNION ALL SELECT 'record', repo, (coalesce(selected, 0) - coalesce(bad, 0))::VARCHAR, CASE WHEN bad IS NULL THEN 'c2' END FROM h LEFT JOIN c USING (repo) LEFT JOIN bad USING (repo)
+UNION ALL SELECT 'quarantined', repo, path, 'not_found' FROM lost
+UNION ALL SELECT 'job', repo, NULL, 'succeeded' FROM h UNION ALL SELECT 'job', repo, NULL, 'succeeded' FROM (SELECT DISTINCT repo FROM s1)""")
+def snk1_index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of the index job, the second commit after the first, with a few contents that have not landed: chunks (by file), ledger, records, quarantine and jobs."""
+    import uuid
+
+    from ..jobs import index_run
+    from ..jobs.shared import cut, shared_dir
+
+    root = f"{shared_dir(spark)}/codelode-{uuid.uuid4().hex}"
+    everything = Settings(file_cap=SETTINGS.file_cap, repo_files=1 << 40, repo_bytes=1 << 50, failed_share=1.0)
+    own = F.regexp_replace("path", r"^(.*)README\.md#(\d+)$", "d$2/$1README.md")
+    both = [cut(f.filter("path not like '%.ipynb'").select("repo", "commit_sha", "ord", own.alias("path"), "blob_sha", "size", "text")) for f in old_and_new(spark, sf_dir)]
+    repos = both[0].select("repo").unionByName(both[1].select("repo")).distinct()
+    for n, files in enumerate(both):
+        heads = (repos if n else both[0].select("repo").distinct()).select("repo", F.col("repo").alias("full_name"), F.lit("main").alias("ref"), F.lit(f"c{n + 1}").alias("commit_sha"), F.lit(False).alias("forced"))
+        landed = files.filter("ord % 31 <> 4") if n else files
+        index_run.run(heads, files.drop("text"), landed.select("repo", "path", F.encode("text", "UTF-8").alias("content")), root, everything)
+    stored = lambda t: index_run.stored_table(spark, root, t)
+    row = lambda df, kind, path, value: df.select(F.lit(kind).alias("kind"), "repo", path.alias("path"), value.alias("value"))
+    path, sha = F.col("path"), F.col("blob_sha")
+    parts = [
+        row(stored("ledger"), "ledger", path, sha), row(stored("chunks").filter("path <> '<repo-map>'").select("repo", "path", "blob_sha").distinct(), "chunk", path, sha),
+        row(stored("repos"), "record", F.col("file_count").cast("string"), F.col("indexed_sha")), row(stored("quarantine"), "quarantined", path, F.col("reason")),
+        row(index_run.jobs(spark, root), "job", F.lit(None).cast("string"), F.col("status")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -67,6 +67,38 @@ def tk2_list_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.list_repos(table(spark, sf_dir, "documents").groupBy(F.col("source").alias("slug")).agg(F.count("*").alias("files")))
 
 
+FILES_SQL = "f AS (SELECT repo, path || '#' || ord AS path, ord, blob_sha FROM listing), f2 AS (SELECT repo, path || '#' || ord AS path, ord, blob_sha FROM v2)"
+
+
+@query(f"""WITH {LISTING_SQL}, {LISTING2_SQL}, {FILES_SQL},
+  one AS (SELECT repo, path, ord, blob_sha FROM f WHERE ord % 13 <> 5 AND ord % 7 <> 3 UNION ALL SELECT repo, path, ord, blob_sha FROM f2 WHERE ord < 1000000000 AND ord % 7 = 3),
+  two AS (SELECT * FROM one WHERE repo NOT LIKE '%7' UNION ALL SELECT repo, path, ord, blob_sha FROM f2 WHERE ord >= 1000000000)
+SELECT repo, path, CASE WHEN ord % 5 = 1 THEN 'third' ELSE blob_sha END AS blob_sha FROM two WHERE ord < 1000000000 OR ord % 5 <> 1 UNION ALL SELECT repo, path, 'third' FROM f2 WHERE ord >= 1000000000 AND ord % 5 = 1""")
+def st1_table_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger kept as deltas: the first commit's files; those that the second one changes, and without those that it lacks; without the repositories that
+    end in 7, and with its copies; a third hash for every fifth file that is there; compacted before the last of these, and after it."""
+    import uuid
+
+    from ..jobs.shared import shared_dir
+    from ..operators.tablelog import Table, TableLog
+
+    log = TableLog(spark, f"{shared_dir(spark)}/codelode-{uuid.uuid4().hex}", {"files": Table("repo string, path string, blob_sha string", ("repo", "path"))})
+    named = lambda df: df.select("repo", F.concat_ws("#", "path", F.col("ord").cast("string")).alias("path"), "ord", "blob_sha")
+    old, new = named(listing(spark, sf_dir)), named(listing2(spark, sf_dir))
+
+    def commit(rows: DataFrame, gone: DataFrame | None = None) -> None:
+        dead = [log.stage_gone(gone)] if gone is not None else []
+        log.commit(log.latest(), {"files": [*dead, log.stage("files", rows, old.count())[0]]})
+
+    commit(old)
+    commit(new.filter("ord < 1000000000 and ord % 7 = 3"), old.filter("ord % 13 = 5"))
+    commit(new.filter("ord >= 1000000000"), old.filter("repo like '%7'").select("repo", F.lit(None).cast("string").alias("path")).distinct())
+    log.compact(2)
+    commit(log.read(log.latest(), "files").filter("cast(substring_index(path, '#', -1) as long) % 5 = 1").withColumn("blob_sha", F.lit("third")))
+    log.compact(2, whole=True)
+    return log.read(log.latest(), "files")
+
+
 @query(f"WITH {LISTING_SQL} SELECT repo, ord, path, blob_sha FROM listing")
 def snk1_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files written in folders by repository and read again."""

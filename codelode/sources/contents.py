@@ -10,18 +10,25 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.paths import max_bytes
 from ..functions.text import decode_text, git_blob_sha
+from ..jobs.shared import cut
 
 
 def read_landed(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """Contents of wanted files under folder/<repo>/<commit_sha>/<path>, joined by their place."""
+    """Contents of wanted files under folder/<repo>/<commit_sha>/<path>, joined by their place.
+
+    Only the folders of wanted snapshots are listed; the driver holds a name per snapshot. All of them must be there.
+    """
     root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
-    landed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    snapshots = [f"{folder.rstrip('/')}/{r.repo}/{r.commit_sha}" for r in wanted.select("repo", "commit_sha").distinct().collect()]
+    if not snapshots:
+        return wanted.withColumn("content", F.lit(None).cast("binary")).limit(0)
+    landed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(snapshots)
     landed = landed.select(F.substring_index("path", f"{root}/", -1).alias("_at"), "content")
     return wanted.withColumn("_at", F.concat_ws("/", "repo", "commit_sha", "path")).join(landed, "_at").drop("_at")
 
@@ -83,6 +90,31 @@ def missing(wanted: DataFrame, unpacked: DataFrame, failed: DataFrame) -> DataFr
     return failed.select("repo", "path", "reason").unionByName(absent.withColumn("reason", F.lit("missing_in_archive")))
 
 
+def guarded(wanted: DataFrame, landed: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a batch may index, what it refuses, and whom it leaves alone.
+
+    wanted: repo, path, blob_sha; landed: repo, path, content. Gives accepted files (repo, path, blob_sha, text, bytes); the quarantine (repo,
+    path, blob_sha, reason): refused contents by the first rule of `accept` that holds, and not_found where nothing has landed; and aborted
+    repositories (repo, message): those of which more bytes are accepted than the limit, or more than a share of the wanted files failed.
+    Of an aborted repository nothing is accepted. A file that landed twice counts once: accepted if one of its contents is.
+    """
+    found = wanted.select("repo", "path", "blob_sha").join(landed.select("repo", "path", "content"), ["repo", "path"], "left")
+    judged = accept(found, settings).withColumn("reason", F.when(F.col("content").isNull(), "not_found").otherwise(F.col("refused")))
+    best = F.min_by(F.struct("reason", "text", F.octet_length("content").alias("bytes")), F.struct(F.col("reason").isNotNull(), "reason"))
+    files = judged.groupBy("repo", "path", "blob_sha").agg(best.alias("b")).select("repo", "path", "blob_sha", "b.*")
+    files = cut(files)
+    failed = files.filter("reason is not null")
+    first = failed.withColumn("nth", F.row_number().over(Window.partitionBy("repo").orderBy("path"))).filter("nth <= 5")  # no more than five a task meet
+    listed = first.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "reason"))), lambda f: F.concat(f["path"], F.lit(": "), f["reason"])), ", ").alias("listed"))
+    counts = files.groupBy("repo").agg(F.count("*").alias("requested"), F.count("reason").alias("failed"), F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("bytes").cast("long"))), F.lit(0)).alias("bytes"))
+    many = F.concat(F.col("failed").cast("string"), F.lit(" of "), F.col("requested").cast("string"), F.lit(" files failed: "), "listed")
+    large = F.concat(F.col("bytes").cast("string"), F.lit(f" bytes, the limit is {settings.repo_bytes}"))
+    message = F.when(F.col("bytes") > settings.repo_bytes, large).when(F.col("failed") > F.col("requested") * settings.failed_share, many)
+    aborted = counts.join(listed, "repo", "left").select("repo", message.alias("message")).filter("message is not null")
+    accepted = files.filter("reason is null").join(aborted, "repo", "left_anti").select("repo", "path", "blob_sha", "text", "bytes")
+    return accepted, failed.select("repo", "path", "blob_sha", "reason"), aborted
+
+
 def byte_guard(accepted: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """repo, bytes, aborted of accepted files (repo, size)."""
     return accepted.groupBy("repo").agg(F.sum("size").alias("bytes")).withColumn("aborted", F.col("bytes") > settings.repo_bytes)

@@ -1,22 +1,33 @@
-"""Runs of the index job: first, incremental, with a failure, up to date, forced; searched by its stored vectors."""
+"""Runs of the index job: first, incremental, with a failure, up to date, forced, guarded, broken off; searched by its stored vectors."""
 
 from __future__ import annotations
 
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
+from codelode.config import Settings
 from codelode.jobs import search
-from codelode.jobs.index_run import run, stored_table
+from codelode.jobs.index_run import jobs, open_index, run, stored_table
+from codelode.operators.tablelog import TableLog
 
 HEADS = "repo string, full_name string, ref string, commit_sha string, forced boolean"
 LISTING = "repo string, ord long, path string, blob_sha string, size long"
-CONTENTS = "repo string, path string, blob_sha string, text string"
+CONTENTS = "repo string, path string, content binary"
+
+
+def sha(data: bytes) -> str:
+    return hashlib.sha1(b"blob %d\0" % len(data) + data).hexdigest()
 
 
-def go(spark, root: str, files: dict[str, dict[str, str | None]], commit: str, forced: bool = False, model: str = "hash"):
+def go(spark, root: str, files: dict[str, dict[str, str | None]], commit: str, forced: bool = False, model: str = "hash", settings: Settings = Settings(failed_share=0.5), landed: dict | None = None):
+    """landed: contents by (repo, path) that are others than listed."""
     heads = spark.createDataFrame([(r, f"acme/{r}", "main", commit, forced) for r in files], HEADS)
-    rows = [(r, i, p, f"{p}:{t}", 10) for r, of in files.items() for i, (p, t) in enumerate(of.items())]
-    contents = [(r, p, f"{p}:{t}", t) for r, of in files.items() for p, t in of.items()]
-    return {x.repo: x for x in run(heads, spark.createDataFrame(rows, LISTING), spark.createDataFrame(contents, CONTENTS), root, model=model).collect()}
+    rows = [(r, i, p, sha((t or p).encode()), 10) for r, of in files.items() for i, (p, t) in enumerate(of.items())]
+    contents = {(r, p): t.encode() for r, of in files.items() for p, t in of.items() if t is not None} | (landed or {})
+    found = run(heads, spark.createDataFrame(rows, LISTING), spark.createDataFrame([(*k, bytearray(c)) for k, c in contents.items()], CONTENTS), root, settings, model)
+    return {x.repo: x for x in found.collect()}
 
 
 def texts(spark, root: str) -> dict[tuple[str, str], str]:
@@ -52,3 +63,97 @@ def test_runs(spark, tmp_path):
     spark.createDataFrame([("q", "a", "x")], "query_id string, repo string, text string").write.parquet(str(tmp_path / "asked"))
     search.main(str(tmp_path / "asked"), root, str(tmp_path / "hits"))
     assert {r.repo for r in spark.read.parquet(str(tmp_path / "hits")).collect()} == {"a"}
+    assert stored_table(spark, root, "chunks").schema["embedding"].dataType.simpleString() == "array<float>"
+    states = [r.status for r in jobs(spark, root).collect()]
+    assert states.count("succeeded") == len(states) == 6
+
+
+def index_of(spark, root: str) -> dict[str, set]:
+    """What readers see, without vectors."""
+    return {t: {tuple(r) for r in stored_table(spark, root, t).drop("embedding").collect()} for t in ("chunks", "ledger", "repos")}
+
+
+def test_guarded_batch(spark, tmp_path):
+    """A wrong hash, a binary, a missing content; a repository of which too many fail, and one above the byte limit."""
+    root = str(tmp_path / "index")
+    good = {f"f{i}.py": f"x = {i}\n" for i in range(12)}
+    files = {"ok": good | {"wrong.py": "right\n", "bin.py": "b\n", "none.py": None}, "bad": {f"g{i}.py": None if i < 3 else "y = 1\n" for i in range(9)}, "big": {"h.py": "z" * 400, "i.py": "z" * 401}}
+    zero = b"a\0b"
+    landed = {("ok", "wrong.py"): b"other\n", ("ok", "bin.py"): zero}
+    settings = Settings(repo_bytes=800)
+    got = go(spark, root, files, "c1", settings=settings, landed=landed)
+    assert {p: got["ok"].failed[p] for p in got["ok"].failed} == {"wrong.py": "integrity_mismatch", "bin.py": "integrity_mismatch", "none.py": "not_found"}
+    assert got["ok"].refused is None and got["ok"].files_fetched == 12
+    assert got["bad"].refused == "3 of 9 files failed: g0.py: not_found, g1.py: not_found, g2.py: not_found" and got["bad"].chunk_count == 0
+    assert got["big"].refused == "801 bytes, the limit is 800"
+    seen = index_of(spark, root)
+    assert {r[1] for r in seen["chunks"]} == {"ok"} and {r[0] for r in seen["repos"]} == {"ok"} and {r[0] for r in seen["ledger"]} == {"ok"}
+    held = {(r.repo, r.path): r.reason for r in stored_table(spark, root, "quarantine").collect()}
+    assert held == {("ok", "wrong.py"): "integrity_mismatch", ("ok", "bin.py"): "integrity_mismatch", ("ok", "none.py"): "not_found", **{("bad", f"g{i}.py"): "not_found" for i in range(3)}}
+    ends = {r.repo: (r.status, r.error, r.files_done) for r in jobs(spark, root).collect()}
+    assert ends == {"ok": ("succeeded", None, 12), "bad": ("failed", f"Refused: {got['bad'].refused}", 0), "big": ("failed", f"Refused: {got['big'].refused}", 0)}
+    info = open_index(spark, root).latest().info  # gathered while chunks are written
+    assert info["chunks"] == sum(r.chunks_written for r in got.values()) == stored_table(spark, root, "chunks").count() and info["tokens"] > 0
+    order = [r.status for r in stored_table(spark, root, "jobs").filter("repo = 'ok'").orderBy("seq").collect()]
+    assert order == ["queued", "running", "succeeded"]
+
+
+V1 = {"a": {f"f{i}.py": f"x = {i}\n" for i in range(6)}, "b": {"README.md": "# B\nboats\n"}}
+V2 = {"a": {**{f"f{i}.py": f"x = {i}\n" for i in range(1, 6)}, "f1.py": "changed = 1\n", "new.py": "n = 1\n"}, "b": {"README.md": "# B\nships\n"}}
+
+
+@pytest.fixture(scope="module")
+def undisturbed(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("undisturbed"))
+    go(spark, root, V1, "c1")
+    first = index_of(spark, root)
+    go(spark, root, V2, "c2")
+    return [first, index_of(spark, root)]
+
+
+POINTS = ["gone", "chunks", "ledger", "repos", "jobs", "publish"]
+
+
+def breaking(point):
+    """The log's writes, of which the one that is named fails once it has been done (a commit: before it has its name)."""
+    stage, stage_gone, publish = TableLog.stage, TableLog.stage_gone, TableLog.publish
+
+    def staged(self, table, rows, *a, **b):
+        out = stage(self, table, rows, *a, **b)
+        if table == point and (table != "jobs" or not rows.filter("status = 'succeeded'").isEmpty()):
+            raise OSError("lost")
+        return out
+
+    def staged_gone(self, keys):
+        out = stage_gone(self, keys)
+        if point == "gone":
+            raise OSError("lost")
+        return out
+
+    def published(self, version):
+        if point == "publish" and version.info.get("status") == "succeeded":
+            raise OSError("lost")
+        return publish(self, version)
+
+    return {"stage": staged, "stage_gone": staged_gone, "publish": published}
+
+
+def test_broken_off_runs(spark, tmp_path, undisturbed):
+    """A failure after any write leaves the index as it was; the next run gives the tables of an undisturbed one."""
+    root = str(tmp_path / "index")
+    go(spark, root, V1, "c1")
+    before = index_of(spark, root)
+    for n, point in enumerate(POINTS):
+        with pytest.MonkeyPatch.context() as patch:
+            for name, f in breaking(point).items():
+                patch.setattr(TableLog, name, f)
+            with pytest.raises(OSError, match="lost"):
+                go(spark, root, V2, "c2")
+        assert index_of(spark, root) == before == undisturbed[0]
+        ends = jobs(spark, root).filter("status = 'failed'").collect()
+        assert len(ends) == 2 * (n + 1) and {(r.repo, r.error) for r in ends} == {("a", "OSError: lost"), ("b", "OSError: lost")}
+    go(spark, root, V2, "c2")
+    assert index_of(spark, root) == undisturbed[1]
+    log = open_index(spark, root)
+    log.compact(whole=True, least=2)
+    assert index_of(spark, root) == undisturbed[1] and len(log.latest().segments["chunks"]) == 1
