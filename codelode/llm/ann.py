@@ -11,7 +11,7 @@ own cell first, which gives a distance, and then only the cells whose boxes pass
 levels are built over all its rows, and leaves are visited in the order of their distance.
 
 Vectors that are null, empty, zero, hold null or non-finite components, or have another than the most frequent number of
-components take no part. Ties go to the smaller id, then to the row. Repeated rows are separate candidates, and a query leaves out
+components take no part; those of any other length do, however large or small. Ties go to the smaller id, then to the row. Repeated rows are separate candidates, and a query leaves out
 its own row only. Other columns are ignored.
 """
 
@@ -133,8 +133,9 @@ def nearest(vectors: DataFrame, id_column: str, vector: Column, is_query: Column
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            unit = v / np.abs(v).max(axis=1, keepdims=True)  # first by the largest component, as squares may vanish or overflow
-            p = unit / np.sqrt((unit**2).sum(axis=1, keepdims=True)) @ weights
+            # by a power of two, which changes no cosine: squares of what is left neither vanish nor overflow
+            v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+            p = v / np.sqrt((v**2).sum(axis=1, keepdims=True)) @ weights
             yield pa.RecordBatch.from_arrays([b["row"], b["id"], b["is_query"], *[pa.array([r.tobytes() for r in x], pa.binary()) for x in (v, p)]], names=["row", "id", "is_query", "v", "p"])
 
     rows = stored(usable.select(F.monotonically_increasing_id().alias("row"), "id", "is_query", "v").mapInArrow(project, "row long, id long, is_query boolean, v binary, p binary"))

@@ -75,3 +75,18 @@ def test_neighbours_recall_and_scores(spark, monkeypatch, slice_rows):
 
 def test_chi_square():
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
+
+
+def test_neighbours_of_extreme_lengths(spark):
+    """Vectors whose squares overflow or vanish take part with their exact cosine."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((60, 6))
+    scale = [1.0, 1e200, 1e-200, 1e300, 1e-300, 3.0]
+    made = [(i, [float(x * scale[i % 6]) for x in v]) for i, v in enumerate(base)]
+    found = ann.nearest(spark.createDataFrame(made, "id long, v array<double>"), "id", F.col("v"), F.col("id") % 5 == 0, 4).collect()
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    for q in range(0, 60, 5):
+        mine = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
+        best = sorted((-float(unit[q] @ unit[i]), i) for i in range(60) if i != q)[:4]
+        assert [i for _, i, _ in mine] == [i for _, i in best]
+        assert all(s == pytest.approx(-b, abs=1e-12) for (_, _, s), (b, _) in zip(mine, best))
