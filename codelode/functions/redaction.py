@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SAFE_EMAIL_DOMAINS
-from .text import MIN_ENTROPY, MIN_SECRET_CHARS, PLACEHOLDERS, is_real_secret
+from .text import MIN_ENTROPY, MIN_SECRET_CHARS, PLACEHOLDERS
 
 # Formats of secrets, the more specific one of two first.
 FORMATS = {
@@ -29,7 +29,9 @@ FORMATS = {
     "jwt": r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
 }
 # What a name holds whose quoted value may be a secret.
-SECRET_NAMES = ["password", "passwd", "pwd", "secret", "token", "credential", *(f"{a}{b}key" for a in ("api", "access", "auth") for b in ("", "_", "-"))]
+SECRET_NAMES = [
+    "password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "credential", "authkey", "auth_key", "auth-key",
+]
 FORMAT_OF = {kind: re.compile(pattern) for kind, pattern in FORMATS.items()}
 QUOTE, LETTERS = re.compile("[\"']"), re.compile("[A-Za-z]+")
 LOCAL, DOMAIN, SCHEME = set("._%+-"), re.compile("[A-Za-z0-9.-]*"), set("abcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -134,13 +136,16 @@ def redacted(text: str, safe: tuple[str, ...] = SAFE_EMAIL_DOMAINS) -> tuple[str
     for rule in [*rules, passwords(text), quoted_secrets(text), addresses(text, safe)]:
         new = [s for s in rule if not any(s[0] < t[1] and t[0] < s[1] for t in taken)]
         taken += new
-    if not taken:
-        return text, {}
+    return marked(text, taken), dict(Counter(kind for _, _, kind, _ in taken))
+
+
+def marked(text: str, spans: list[Span]) -> str:
+    """A text with marks in place of spans, which keep their line feeds."""
     out, last = [], 0
-    for start, end, _, tag in sorted(taken):
+    for start, end, _, tag in sorted(spans):
         out += text[last:start], f"[REDACTED:{tag}]", "\n" * text.count("\n", start, end)
         last = end
-    return "".join([*out, text[last:]]), dict(Counter(kind for _, _, kind, _ in taken))
+    return "".join([*out, text[last:]]) if out else text
 
 
 def redact(text: Column, safe: tuple[str, ...] = SAFE_EMAIL_DOMAINS) -> Column:
@@ -161,17 +166,23 @@ def redact_documents(documents: DataFrame, safe: tuple[str, ...] = SAFE_EMAIL_DO
 
 
 def redact_emails(text: Column, safe: tuple[str, ...] = SAFE_EMAIL_DOMAINS) -> Column:
-    """Addresses alone, by one expression: the domain is matched as a whole before its end is looked at."""
-    local, label, ends = "A-Za-z0-9._%+-", "[A-Za-z0-9-]+", "|".join(map(re.escape, safe))
-    domain = rf"(?>{label}(?:\.{label})*\.[A-Za-z]{{2,}}\b)"
-    return F.regexp_replace(text, rf"(?<![\w:/{local}])(?!(?i:git)@)[{local}]++@{domain}(?<!(?i:{ends}))", "[REDACTED:email]")
+    """Addresses alone."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else marked(t, list(addresses(t, safe))) for t in texts], dtype=object)
+
+    return run(text)
 
 
 def assignments(text: Column) -> Column:
-    """How many credential assignments a text holds, by expressions alone."""
-    value = "[^\"'\\s]{8,}"
-    whole = F.regexp_extract_all(text, F.lit(rf"(?i)(?:{'|'.join(SECRET_NAMES)})[\w.-]*[\"']?\s*[:=]\s*(?:\"{value}\"|'{value}')"), F.lit(0))
-    return F.size(F.filter(F.transform(whole, lambda m: F.regexp_extract(m, f"({value})[\"']$", 1)), is_real_secret))
+    """How many credential assignments a text holds."""
+
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else sum(1 for _ in quoted_secrets(t)) for t in texts], dtype="Int32")
+
+    return run(text)
 
 
 def findings_summary(documents: DataFrame, key: str | None = "repo") -> DataFrame:

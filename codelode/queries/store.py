@@ -39,6 +39,21 @@ def jn8_delete_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.delete_files(old, old.join(new, ["repo", "path"], "left_anti"))[1]
 
 
+@query(f"WITH {LISTING_SQL} SELECT repo, ord, blob_sha FROM listing WHERE ord % 13 <> 5")
+def jn8_kept_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that stay when these files go."""
+    old = listing(spark, sf_dir).withColumn("path", F.concat("path", F.lit("#"), F.col("ord").cast("string")))
+    return store.delete_files(old, old.filter("ord % 13 = 5"))[0].select("repo", "ord", "blob_sha")
+
+
+@query(f"WITH {JOBS_SQL}, late AS (SELECT repo, id, status FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY started_at DESC, id DESC) AS n FROM jobs WHERE id % 3 = 0) WHERE n = 1), early AS (SELECT repo, max(id) AS id, 'old' AS status FROM jobs GROUP BY repo) SELECT * FROM late UNION ALL SELECT * FROM early ANTI JOIN late USING (repo)")
+def st2_upsert_onto_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third event as an upsert onto a record of each repository; records without one stay."""
+    rows = jobs(spark, sf_dir).withColumn("seq", F.struct("started_at", "id"))
+    known = rows.groupBy("repo").agg(F.max("id").alias("id")).withColumn("status", F.lit("old"))
+    return store.upsert(known, rows.filter("id % 3 = 0"), ["repo"], "seq")
+
+
 @query(f"WITH {LISTING_SQL} SELECT repo, ord, path FROM listing WHERE repo NOT LIKE '%7'")
 def jn8_delete_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = listing(spark, sf_dir)
