@@ -53,6 +53,11 @@ class ChunkIds(dict):
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if all(c in letters for c in token)}
         ranks = {token: i for token, i in ranks.items() if i < len(ranks)}
+        self.ranks = ranks
+        #: Bytes of each id that the vocabulary or an added token has, and their number.
+        self.spelled = {i: token for token, i in ranks.items()} | {t["id"]: t["content"].encode() for t in added}
+        self.sizes = np.zeros(max(self.spelled) + 1, np.int64)
+        self.sizes[list(self.spelled)] = [len(token) for token in self.spelled.values()]
         self.encode = tiktoken.Encoding("chunks", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, chunk: str) -> bytes:
@@ -68,6 +73,23 @@ class ChunkIds(dict):
     def ids(self, text: str) -> bytes:
         return np.array(self.encode(text), dtype="<u4").tobytes()
 
+    def meet(self, left: int, right: int) -> bool:
+        """Whether two tokens stay as they are side by side inside a pre-token.
+
+        Pairs merge by rank, the leftmost first, so a row of tokens is what its bytes are encoded as just when each two
+        neighbours in it are.
+        """
+        a, b = self.spelled[left], self.spelled[right]
+        if a not in self.ranks or b not in self.ranks:
+            return False
+        parts = [bytes([c]) for c in a + b]
+        while len(parts) > 1:
+            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], len(self.ranks)), i) for i in range(len(parts) - 1))
+            if rank == len(self.ranks):
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts == [a, b]
+
 
 def chunk_ids(tokenizer_path: str) -> ChunkIds:
     """The cache of this worker for a tokenizer file."""

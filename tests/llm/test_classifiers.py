@@ -202,6 +202,32 @@ def test_token_trees():
             assert "".join(tree.texts) == text and tree.chars[1] == len(text) and tree.tokens[1] == len(t.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("letters", ["漢字仮名交文", "漢字。，仮名", "etaoin", "etaoin\t", "0123456789", "a", " ", "'s're'll", "!?'"])
+def test_edits_of_texts_without_blanks(letters):
+    """One changed character costs a few leaves, whatever parts the text; series of edits of all lengths count right."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    known, rng = chunk_ids(PATH), random.Random(letters)
+    more = "".join(chr(c) for c in range(0x4E00, 0x5600)) if "漢" in letters else ""
+    draw = lambda n: "".join(rng.choices(letters + more, k=n))
+    text = draw(100_000)
+    tree = tokencount.TokenTree(text, known)
+    for k in range(40):
+        p, n, new = (rng.randrange(len(text)), 1, draw(1)) if k < 10 else (rng.randrange(len(text)), rng.choice([0, 2, 900, 9000]), draw(rng.choice([0, 3, 900, 9000])))
+        text, tree.encoded = text[:p] + new + text[p + n :], 0
+        tree.edit(p, n, new)
+        assert k >= 10 or tree.encoded < 4096
+    assert "".join(tree.texts) == text and tree.tokens[1] == len(t.encode(text, add_special_tokens=False).ids)
+
+
+def test_edits_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x y", "kept", [1])], "doc_id long, text string, _id string, edits array<int>")
+    edits = spark.createDataFrame([(1, 0, 3, 0, " b"), (1, 0, 3, 0, " a")], "doc_id long, seq long, position long, removed long, inserted string")
+    row = tokencount.with_edits(docs, edits).collect()[0]
+    assert row._id == "kept" and [e.inserted for e in row.edits] == [" a", " b"]
+
+
 def test_counts_after_edits(spark, docs, no_docs, rows):
     from tokenizers import Tokenizer
 

@@ -8,7 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from codelode.llm import queries
+from codelode.llm.common import seeded
 
 SF = "/root/testdata/sf0.001"
 TYPES = {
@@ -84,9 +87,20 @@ def test_token_counts_of_edits(spark, found):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_file())
-    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    for r in found["op10_tokencount"].collect():
-        assert r.tokens_before == len(t.encode(texts[r.doc_id], add_special_tokens=False).ids) and r.n_edits == 4
+    count = lambda text: len(t.encode(text, add_special_tokens=False).ids)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    drawn = docs.select("doc_id", *[F.pmod(seeded(i, "doc_id"), F.coalesce(F.length("text"), F.lit(0)) + 1).alias(f"p{i}") for i in range(3)])
+    rows = {r.doc_id: r for r in docs.select("doc_id", "text", "lang", "source").join(drawn, "doc_id").collect()}
+    got = found["op10_tokencount"].collect()
+    assert len(got) == len(rows)
+    for r in got:
+        doc = rows[r.doc_id]
+        text = doc.text or ""
+        assert r.tokens_before == count(text) and r.n_edits == 4
+        for p, n, new in [(doc.p0, 0, "another "), (doc.p1, 24, f"{doc.lang or '?'}: "), (doc.p2, 60, ""), (1 << 40, 0, "\n" + (doc.source or ""))]:
+            p = min(p, len(text))
+            text = text[:p] + new + text[p + n :]
+        assert (r.tokens_after, r.chars_after) == (count(text), len(text)) and r.chars_reencoded < 4 * 4096
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
