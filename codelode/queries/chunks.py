@@ -15,6 +15,7 @@ from ..operators import chunk, embed
 from ..operators.select import select_files
 from .fixtures import LISTING_SQL, SELECTED_SQL, SETTINGS, listing, table
 from .registry import query
+from .splitting import WORDS_SQL, split_sql
 
 DIM = 64
 LANGUAGE_SQL = "CASE WHEN lower(path) LIKE '%.py' THEN 'python' WHEN lower(path) LIKE '%.js' THEN 'javascript' WHEN lower(path) LIKE '%.ts' OR lower(path) LIKE '%.tsx' THEN 'typescript' WHEN lower(path) LIKE '%.md' THEN 'markdown' WHEN lower(path) LIKE '%.ipynb' THEN 'notebook' ELSE 'text' END"
@@ -28,11 +29,36 @@ SMALL_SQL = f"""{DOCS_SQL}, small AS (
   FROM d WHERE n <= 400 AND n > 0)"""
 
 
+LINES_SQL = "len(string_split(text, chr(10))) - suffix(text, chr(10))::INT"
+
+
+def pieces_sql(docs: str, limit: int, overlap: int) -> str:
+    """Tables that end in `pieces` (ord, chunk_index, start_line, end_line, piece): all pieces of the rows of `docs` (as in `d`), small and large."""
+    return f"""big AS (SELECT ord, language, text FROM {docs} WHERE n > {limit}), {split_sql('big', limit, overlap)},
+  pieces AS (SELECT ord, 0 AS chunk_index, first AS start_line, first + length(bare) - length(replace(bare, chr(10), '')) AS end_line, bare AS piece FROM {docs} WHERE n BETWEEN 1 AND {limit} UNION ALL SELECT * FROM split)"""
+
+
+#: Chunks of all documents, README files under names of their own.
+CHUNKS_SQL = f"""{DOCS_SQL}, own AS (SELECT * REPLACE (CASE WHEN path = 'README.md' THEN 'README' || ord || '.md' ELSE path END AS path) FROM d), {pieces_sql('own', 400, 50)},
+  near AS (SELECT pieces.*, coalesce(lag(start_line) OVER w, start_line) AS a, coalesce(lead(end_line) OVER w, end_line) AS b FROM pieces WINDOW w AS (PARTITION BY ord ORDER BY chunk_index)),
+  near_fits AS (SELECT near.*, own.*, n <= 1200 AS fits, n > 1200 AND {WORDS_SQL.format("array_to_string(string_split(text, chr(10))[a:b], chr(10))")} <= 1200 AS near_fits FROM near JOIN own USING (ord)),
+  chunks AS (SELECT sha1(repo || '|' || path || '|' || blob_sha || '|' || chunk_index) AS id, repo, path, blob_sha, language, chunk_index::INT AS chunk_index, start_line::INT AS start_line, end_line::INT AS end_line,
+    (CASE WHEN fits THEN 1 WHEN near_fits THEN a ELSE start_line END)::INT AS parent_start_line, (CASE WHEN fits THEN {LINES_SQL} WHEN near_fits THEN b ELSE end_line END)::INT AS parent_end_line, piece,
+    'File: ' || path || ' (lines ' || start_line || '-' || end_line || ')' || chr(10) || 'Language: ' || language || chr(10) || chr(10) || piece AS embed_text FROM near_fits)"""
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = select_files(listing(spark, sf_dir), SETTINGS)
     return files.select("repo", "path", "blob_sha", language_of(F.col("path")).alias("language"), "text", F.lit(None).cast(chunk.UNITS).alias("units"))
 
 
+def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, README files of a repository under names of their own."""
+    own = F.when(F.col("path") == "README.md", F.concat(F.lit("README"), F.col("ord").cast("string"), F.lit(".md"))).otherwise(F.col("path"))
+    files = select_files(listing(spark, sf_dir), SETTINGS).withColumn("path", own)
+    return files.select("repo", "path", "blob_sha", language_of(F.col("path")).alias("language"), "text", F.lit(None).cast(chunk.UNITS).alias("units"))
+
+
 def small_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).filter(T.token_count(F.col("text")) <= SETTINGS.piece_tokens)
 
@@ -43,7 +69,10 @@ def ch1_chunk_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("repo", "path", "blob_sha", "chunk_index", "p.start_line", "p.end_line", F.md5(F.col("p.text").cast("binary")).alias("text_md5"))
 
 
-@query()
+LARGE_SQL = f"{DOCS_SQL}, large AS (SELECT ord, repo, path, blob_sha, language, text FROM d WHERE n > 400)"
+
+
+@query(f"WITH RECURSIVE {LARGE_SQL}, {split_sql('large', 400, 50)} SELECT repo, path, chunk_index::INT AS chunk_index, start_line::INT AS start_line, end_line::INT AS end_line, {WORDS_SQL.format('bare')}::INT AS tokens FROM split JOIN large USING (ord)")
 def ch2_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are too long for one chunk, cut up: place and size of each piece."""
     large = documents(spark, sf_dir).filter(T.token_count(F.col("text")) > SETTINGS.piece_tokens)
@@ -51,7 +80,7 @@ def ch2_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("repo", "path", "chunk_index", "p.start_line", "p.end_line", T.token_count(F.col("p.text")).alias("tokens"))
 
 
-@query()
+@query(f"WITH RECURSIVE {LARGE_SQL}, {split_sql('large', 400, 50)} SELECT repo, path, blob_sha, count(*) AS pieces, count(*) FILTER (WHERE NOT contains(array_to_string(string_split(text, chr(10))[start_line:end_line], chr(10)), bare)) AS misplaced FROM split JOIN large USING (ord) GROUP BY ALL")
 def ch3_pieces_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every piece stands in the lines that it names."""
     large = documents(spark, sf_dir).filter(T.token_count(F.col("text")) > SETTINGS.piece_tokens)
@@ -70,13 +99,15 @@ def ch4_whole_file_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(fits, ["repo", "path", "blob_sha"]).groupBy("repo", "path", "blob_sha").agg(F.count_if(whole).alias("whole"))
 
 
-@query(f"WITH {SMALL_SQL} SELECT id, repo, path, blob_sha, language, 0 AS chunk_index, first::INT AS start_line, last AS end_line, 1 AS parent_start_line, n_lines::INT AS parent_end_line, NULL::VARCHAR AS scope, md5(bare) AS text_md5, md5(embed_text) AS embed_md5, len(regexp_extract_all(embed_text, '[^\\s]+'))::INT AS token_count FROM small")
+@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT * EXCLUDE (piece, embed_text), NULL::VARCHAR AS scope, md5(piece) AS text_md5, md5(embed_text) AS embed_md5, {WORDS_SQL.format('embed_text')}::INT AS token_count FROM chunks")
 def ch5_chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = chunk.chunk_documents(small_documents(spark, sf_dir), SETTINGS)
+    """All documents, small and large: splitter, lines, parents by file, neighbours or alone, headers, ids."""
+    done = chunk.chunk_documents(named_documents(spark, sf_dir), SETTINGS)
     return done.withColumns({"text_md5": F.md5(F.col("text").cast("binary")), "embed_md5": F.md5(F.col("embed_text").cast("binary"))}).drop("text", "embed_text")
 
 
-@query()
+@query(f"""WITH RECURSIVE {DOCS_SQL}, {pieces_sql('d', 800, 100)}, e AS (SELECT repo, path, blob_sha, chunk_index::INT AS chunk_index, CASE WHEN language = 'markdown' THEN chr(10) || piece ELSE '# File: ' || path || chr(10) || piece END AS embed_text FROM pieces JOIN d USING (ord))
+SELECT sha1(repo || '|' || path || '|' || blob_sha || '|' || chunk_index) AS id, path, chunk_index, {WORDS_SQL.format('embed_text')}::INT AS token_count, string_split(embed_text, chr(10))[1] AS first_line FROM e""")
 def ch8_prototype_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older profile: longer chunks behind a line with their path."""
     return chunk.chunk_documents(documents(spark, sf_dir), PROTOTYPE).select("id", "path", "chunk_index", "token_count", F.regexp_extract("embed_text", r"^[^\n]*", 0).alias("first_line"))
@@ -141,7 +172,7 @@ def letter_counter() -> Callable[[str], int]:
     return lambda t: len(t) // 4
 
 
-@query()
+@query(f"WITH RECURSIVE {LARGE_SQL}, {split_sql('large', 400, 50, '(length({0}) // 4)')} SELECT repo, path, chunk_index::INT AS chunk_index, (length(bare) // 4)::INT AS tokens FROM split JOIN large USING (ord)")
 def ud2_token_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces under another token counter: four characters a token."""
     docs = documents(spark, sf_dir).filter(T.token_count(F.col("text")) > SETTINGS.piece_tokens)

@@ -9,7 +9,7 @@ from ..jobs.shared import cut
 from ..operators import search
 from ..operators.chunk import chunk_documents
 from ..operators.embed import hash_embed
-from .chunks import DIM, SMALL_SQL, BUCKET_SQL, small_documents
+from .chunks import BUCKET_SQL, CHUNKS_SQL, DIM, named_documents
 from .fixtures import SETTINGS, table
 from .registry import query
 
@@ -56,13 +56,13 @@ def jn5_expand_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 COUNTS_SQL = """{0} AS (SELECT k, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY k)) AS w FROM (SELECT k, b AS bucket, count(*) AS n FROM (SELECT k, unnest(regexp_extract_all(lower(t), '[a-z0-9_]+')) AS w FROM {1}) JOIN words USING (w) GROUP BY ALL))"""
 
 
-@query(f"""WITH {SMALL_SQL}, sr AS (SELECT id AS k, repo, embed_text AS t FROM small), qs AS (SELECT item_id AS k, 'acme__src' || item_id % 20 AS repo, text AS t FROM benchmark),
+@query(f"""WITH RECURSIVE {CHUNKS_SQL}, sr AS (SELECT id AS k, repo, embed_text AS t FROM chunks), qs AS (SELECT item_id AS k, 'acme__src' || item_id % 20 AS repo, text AS t FROM benchmark),
   words AS (SELECT w, {BUCKET_SQL.format('w', DIM)}::INT AS b FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(t), '[a-z0-9_]+')) AS w FROM (SELECT t FROM sr UNION ALL SELECT t FROM qs))),
   {COUNTS_SQL.format('cv', 'sr')}, {COUNTS_SQL.format('qv', 'qs')},
   s AS (SELECT qs.k AS query_id, sr.k AS id, sr.repo, coalesce((SELECT sum(cv.w * qv.w) FROM cv JOIN qv USING (bucket) WHERE cv.k = sr.k AND qv.k = qs.k), 0) AS score FROM qs JOIN sr USING (repo))
 SELECT query_id, rank::INT AS rank, id, repo, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 5""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small documents selected, chunked and embedded by hash, their vectors stored; the five best chunks of a repository for each benchmark text."""
-    chunks = cut(chunk_documents(small_documents(spark, sf_dir), SETTINGS).dropDuplicates(["id"]).select("id", "repo", hash_embed(F.col("embed_text"), DIM).alias("embedding")))
+    """All documents selected, chunked and embedded by hash, their vectors stored; the five best chunks of a repository for each benchmark text."""
+    chunks = cut(chunk_documents(named_documents(spark, sf_dir), SETTINGS).dropDuplicates(["id"]).select("id", "repo", hash_embed(F.col("embed_text"), DIM).alias("embedding")))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("acme__src"), (F.col("item_id") % 20).cast("string")).alias("repo"), hash_embed(F.col("text"), DIM).alias("vector"))
     return search.top_k(asked, chunks, 5).withColumn("score", F.round("score", 6))
