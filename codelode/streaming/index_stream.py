@@ -1,54 +1,79 @@
 """Resumable indexing of landed files as a stream.
 
-Each micro-batch of landed files (repo, path, blob_sha, text) is compared with the ledger; new and changed files are read,
-redacted and chunked, their chunks appended, and only then does the ledger name them. A batch that is run again after
-a crash finds its files in the ledger, or writes the same chunks under the same ids: readers keep the newest by id. Of several
-versions of a path in one batch the one that landed last holds (by time and name of the file, then its place there).
+Landed files are repo, path, blob_sha, text; a row without blob_sha says that the file is gone. What each file was last is kept in the
+query's state store (RocksDB, by repo and path), so a micro-batch costs what has landed, not what is stored. Files that differ from it
+are read, redacted, chunked and embedded, their chunks appended, and only then does the ledger name them; gone files are named
+without blob_sha. A batch that is run again after a crash starts from the state before it and writes the same chunks under
+the same ids. Of several versions of a path in one batch the one that landed last holds (by time and name of the file,
+then its place there). Files without a path are files like others; repeated rows change nothing; a gone file that was never there is passed over.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Settings
 from ..functions.redaction import redact_documents
 from ..operators.chunk import chunk_documents
+from ..operators.embed import hash_embed
 from ..operators.readers import read_documents
 
 FILES = "repo string, path string, blob_sha string, text string"
 LEDGER = "repo string, path string, blob_sha string, batch long"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def ledger(spark: SparkSession, root: str) -> DataFrame:
-    """repo, path, blob_sha: what each file was when its chunks were last stored."""
+    """repo, path, blob_sha: what each file that is there was when its chunks were last stored."""
     rows = spark.read.schema(LEDGER).parquet(f"{root}/ledger")
-    return rows.groupBy("repo", "path").agg(F.max_by("blob_sha", "batch").alias("blob_sha"))
+    return rows.groupBy("repo", "path").agg(F.max_by("blob_sha", "batch").alias("blob_sha")).filter("blob_sha is not null")
 
 
 def stored_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """The chunks of files as the ledger has them."""
+    """The chunks of files as the ledger has them, with their vectors."""
     return spark.read.option("mergeSchema", "false").parquet(f"{root}/chunks").join(ledger(spark, root), ["repo", "path", "blob_sha"], "left_semi").dropDuplicates(["id"])
 
 
+def changed(key: tuple, landed: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The last landed version of one file, if it isn't what the state has; the state then has it."""
+    last = max((row for part in landed for row in part.itertuples(index=False)), key=lambda r: (r.landed_at, r.landed_in, r.landed_row))
+    known = state.get[0] if state.exists else None
+    if last.blob_sha == known:
+        return
+    if last.blob_sha is None:
+        state.remove()
+    else:
+        state.update((last.blob_sha,))
+    yield pd.DataFrame({"repo": [key[0]], "path": [key[1]], "blob_sha": [last.blob_sha], "text": [last.text]})
+
+
 def process(root: str, settings: Settings):
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = Window.partitionBy("repo", "path").orderBy(F.desc("landed"))
-        newest = batch.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "landed")
-        new = newest.join(ledger(spark, root), ["repo", "path", "blob_sha"], "left_anti")
-        chunks = chunk_documents(redact_documents(read_documents(new)), settings)
-        chunks.write.mode("append").parquet(f"{root}/chunks")
-        new.select("repo", "path", "blob_sha", F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(f"{root}/ledger")
+        batch.write.mode("overwrite").parquet(f"{root}/incoming")  # the state is stepped once a batch, however often its rows are read
+        rows = spark.read.schema(FILES).parquet(f"{root}/incoming")
+        chunks = chunk_documents(redact_documents(read_documents(rows.filter("blob_sha is not null"))), settings)
+        chunks.withColumn("embedding", hash_embed(F.col("embed_text"), settings.vector_size).cast("array<float>")).write.mode("append").parquet(f"{root}/chunks")
+        rows.select("repo", "path", "blob_sha", F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(f"{root}/ledger")
 
     return run
 
 
 def index_stream(spark: SparkSession, landed: str, root: str, settings: Settings = Settings(), files_per_batch: int = 8) -> StreamingQuery:
     """Indexes Parquet files of FILES that are in `landed`, from where the last run stopped, and ends when there are none left."""
-    spark.createDataFrame([], LEDGER).write.mode("append").parquet(f"{root}/ledger")
-    source = spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_batch).parquet(landed)
-    landing = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
-    writer = source.withColumn("landed", landing).writeStream.foreachBatch(process(root, settings)).option("checkpointLocation", f"{root}/progress")
+    own = spark.newSession()  # the state store is this query's alone
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.createDataFrame([], LEDGER).write.mode("append").parquet(f"{root}/ledger")
+    source = own.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_batch).parquet(landed)
+    landing = [F.col(f"_metadata.{n}").alias(a) for n, a in (("file_modification_time", "landed_at"), ("file_path", "landed_in"), ("row_index", "landed_row"))]
+    files = source.select("repo", "path", "blob_sha", "text", *landing).groupBy("repo", "path")
+    changes = files.applyInPandasWithState(changed, FILES, "blob_sha string", "update", GroupStateTimeout.NoTimeout)
+    writer = changes.writeStream.outputMode("update").foreachBatch(process(root, settings)).option("checkpointLocation", f"{root}/progress")
     return writer.trigger(availableNow=True).start()

@@ -167,6 +167,21 @@ def test_stream_resumes(spark, tmp_path, monkeypatch):
     assert chunks.count() == 12 and chunks.filter("path = 'f0.py'").first().text == "x = 1"
 
 
+def test_stream_forgets_gone_files_and_keeps_vectors(spark, tmp_path):
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "index")
+
+    def land(*rows):
+        spark.createDataFrame(rows, index_stream.FILES).coalesce(1).write.mode("append").parquet(landed)
+        index_stream.index_stream(spark, landed, root).awaitTermination()
+        return sorted((r.path, r.text, len(r.embedding)) for r in index_stream.stored_chunks(spark, root).collect())
+
+    assert land(("r", "a.py", "a1", "a = 1"), ("r", "b.py", "b1", "b = 1"), ("r", "b.py", "b1", "b = 1"), ("r", "never.py", None, None)) == [("a.py", "a = 1", 384), ("b.py", "b = 1", 384)]
+    assert land(("r", "a.py", None, None), ("r", "b.py", "b2", "b = 2")) == [("b.py", "b = 2", 384)]
+    assert land(("r", "a.py", "a1", "a = 1"), ("r", "b.py", "b2", "b = 2")) == [("a.py", "a = 1", 384), ("b.py", "b = 2", 384)]  # back again; b.py as it was
+    named = spark.read.schema(index_stream.LEDGER).parquet(f"{root}/ledger")
+    assert named.filter("path = 'b.py'").count() == 2 and not named.filter("path = 'never.py'").count()
+
+
 def test_a_bucket_that_lost_all_rows_is_emptied(spark, tmp_path):
     from codelode.operators import store
 
