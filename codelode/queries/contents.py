@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import uuid
 from dataclasses import replace
 
 import pandas as pd
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..jobs.shared import shared_dir
 from ..operators import select
-from ..sources import contents
+from ..sources import contents, landed
 from .fixtures import BLOB_SQL, LISTING_SQL, SELECTED_SQL, SETTINGS, listing
 from .registry import query
 
@@ -121,7 +123,7 @@ def archives(files: DataFrame) -> DataFrame:
 def src6_untar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts, a folder of a hundred documents an archive, unpacked."""
     files = listing(spark, sf_dir).select(F.concat_ws("-", F.col("repo"), F.floor(F.col("ord") / 2000).cast("string")).alias("repo"), F.concat(F.col("ord").cast("string"), F.lit("/"), "path").alias("path"), "text")
-    found = contents.untar(archives(files), SETTINGS)
+    found = landed.untar(archives(files), SETTINGS)
     return found.select(F.substring_index("repo", "-", 1).alias("repo"), F.expr("substr(path, instr(path, '/') + 1)").alias("path"), F.substring_index("path", "/", 1).cast("long").alias("ord"), F.md5("content").alias("content_md5"))
 
 
@@ -137,3 +139,37 @@ def src7_merge_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = contents.merge_contents(landed.drop("content"), landed, unpacked, replace(SETTINGS, archive_from=25))
     return merged.select("repo", F.regexp_extract("path", r"^(.*)#\d+$", 1).alias("path"), F.regexp_extract("path", r"#(\d+)$", 1).cast("long").alias("ord"), "via", "method")
 
+
+@query(f"""WITH {LISTING_SQL}, {SELECTED_SQL} SELECT repo, path, ord, octet_length(encode(text)) AS bytes, md5(text) AS content_md5 FROM selected WHERE ord % 7 <> 3""")
+def src5_read_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document but one of seven lands as an object; those that are selected are opened, and what hasn't landed isn't found."""
+    files = listing(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    numbered = files.withColumn("path", F.concat_ws("/", F.col("ord").cast("string"), "path"))
+    landed.land(numbered.filter("ord % 7 <> 3").withColumn("content", F.encode("text", "UTF-8")), folder)
+    wanted = select.select_files(files, SETTINGS).select("repo", "commit_sha", F.concat_ws("/", F.col("ord").cast("string"), "path").alias("path"), "size")
+    found = landed.read_landed(spark, folder, wanted)
+    return found.select("repo", F.expr("substr(path, instr(path, '/') + 1)").alias("path"), F.substring_index("path", "/", 1).cast("long").alias("ord"), F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("content_md5"))
+
+
+@query(f"""WITH {LISTING_SQL}, {SELECTED_SQL}, s AS (SELECT *, repo || '-' || (ord // 600) AS part FROM selected), g AS (SELECT part, count(*) > 5 AS large FROM s GROUP BY part)
+SELECT part AS repo, path, ord, md5(text) AS content_md5, CASE WHEN NOT large THEN 'raw' WHEN repo LIKE '%5' AND ord % 2 = 1 THEN 'raw' ELSE 'tarball' END AS via,
+  CASE WHEN NOT large THEN 'raw' WHEN repo LIKE '%5' THEN 'tarball+raw' ELSE 'tarball' END AS method FROM s JOIN g USING (part)""")
+def src7_fetch_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of repositories come as landed archives where more than five of their files are wanted. Of those of repositories that end in 5 the archive
+    holds every other file and a second one has not landed; the rest come as single files, and others than those haven't landed at all."""
+    files = listing(spark, sf_dir).withColumn("of", F.col("repo")).withColumn("repo", F.concat_ws("-", "repo", F.floor(F.col("ord") / 600).cast("string")))
+    files = files.withColumn("path", F.concat_ws("/", F.col("ord").cast("string"), "path"))
+    wanted = select.select_files(files, SETTINGS)
+    settings = replace(SETTINGS, archive_from=5)
+    large = wanted.groupBy("repo").count().filter(F.col("count") > 5).select("repo")
+    halves = F.col("of").endswith("5")
+    whole = files.filter(~halves | (F.col("ord") % 2 == 0)).join(large, "repo", "left_semi")
+    single = files.join(large, "repo", "left_anti").unionByName(files.filter(halves & (F.col("ord") % 2 == 1)).join(large, "repo", "left_semi"))
+    folder = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    row = lambda df, path, content: df.select("repo", F.lit("c1").alias("commit_sha"), path.alias("path"), content.alias("content"))
+    landed.land(row(archives(whole), F.lit("1.tar.gz"), F.col("content")).unionByName(row(single, F.col("path"), F.encode("text", "UTF-8"))), folder)
+    heads = wanted.select("repo", "commit_sha", "of").distinct()
+    places = heads.select("repo", "commit_sha", F.lit("1.tar.gz").alias("path")).unionByName(heads.filter(halves).select("repo", "commit_sha", F.lit("2.tar.gz").alias("path")))
+    found = landed.fetch_landed(spark, folder, wanted.select("repo", "commit_sha", "path", "size"), places, settings)
+    return found.select("repo", F.expr("substr(path, instr(path, '/') + 1)").alias("path"), F.substring_index("path", "/", 1).cast("long").alias("ord"), F.md5("content").alias("content_md5"), "via", "method")

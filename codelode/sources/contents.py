@@ -1,16 +1,11 @@
-"""Contents of listed files: landed one by one or in archives, accepted or refused, and what a fetch came to.
+"""Contents of listed files (`landed` has how they are read): accepted or refused, and what a fetch came to.
 
 wanted: repo, path, size, blob_sha, ... of the files asked for. contents: repo, path, content (bytes).
 """
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -19,46 +14,6 @@ from ..functions.text import decode_text, git_blob_sha
 from ..jobs.shared import cut
 
 
-def read_landed(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """Contents of wanted files under folder/<repo>/<commit_sha>/<path>, joined by their place.
-
-    Only the folders of wanted snapshots are listed; the driver holds a name per snapshot. All of them must be there.
-    """
-    root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
-    snapshots = [f"{folder.rstrip('/')}/{r.repo}/{r.commit_sha}" for r in wanted.select("repo", "commit_sha").distinct().collect()]
-    if not snapshots:
-        return wanted.withColumn("content", F.lit(None).cast("binary")).limit(0)
-    landed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(snapshots)
-    landed = landed.select(F.substring_index("path", f"{root}/", -1).alias("_at"), "content")
-    return wanted.withColumn("_at", F.concat_ws("/", "repo", "commit_sha", "path")).join(landed, "_at").drop("_at")
-
-
-def untar(archives: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """repo, path, content, and broken (true in a row without path for an archive that is missing, too large or corrupt) of archives (repo, content: .tar.gz).
-
-    Plain files only, without the first part of their path, up to the cap of a file. An archive is read as a stream, a
-    member at a time.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for repo, content in zip(batch["repo"], batch["content"]):
-                if content is None or len(content) > settings.archive_cap:
-                    yield pd.DataFrame({"repo": [repo], "path": [None], "content": [None], "broken": [True]})
-                    continue
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
-                        for member in tar:
-                            path = member.name.partition("/")[2]
-                            cap = settings.notebook_cap if path.lower().endswith(".ipynb") else settings.file_cap
-                            if member.isfile() and path and member.size <= cap:
-                                yield pd.DataFrame({"repo": [repo], "path": [path], "content": [tar.extractfile(member).read()], "broken": [False]})
-                except (tarfile.TarError, OSError, EOFError):
-                    yield pd.DataFrame({"repo": [repo], "path": [None], "content": [None], "broken": [True]})
-
-    return archives.select("repo", "content").mapInPandas(run, "repo string, path string, content binary, broken boolean")
-
-
 def merge_contents(wanted: DataFrame, raw: DataFrame, unpacked: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """repo, path, content, via, method: the archive for repositories of more than a threshold of wanted files, single files for the others.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codelode.config import Settings
 from codelode.operators import embed, index, repomap, search, store
-from codelode.sources import contents, repos
+from codelode.sources import contents, landed, repos
 from codelode.streaming import index_stream
 
 
@@ -36,7 +36,7 @@ def archive(members: dict[str, bytes], link: bool = False) -> bytearray:
 def test_untar(spark):
     whole = archive({"a.py": b"x", "big.py": b"y" * 600_000, "d/b.py": b"z"}, link=True)
     df = spark.createDataFrame([("r1", whole), ("r2", bytearray(b"no archive")), ("r3", whole[: len(whole) // 2])], "repo string, content binary")
-    got = contents.untar(df).collect()
+    got = landed.untar(df).collect()
     assert {(r.path, bytes(r.content)) for r in got if r.repo == "r1"} == {("a.py", b"x"), ("d/b.py", b"z")}
     assert [r.broken for r in got if r.repo == "r2"] == [True] and any(r.broken for r in got if r.repo == "r3")
 
@@ -48,7 +48,7 @@ def test_read_landed(spark, tmp_path):
         place.parent.mkdir(parents=True, exist_ok=True)
         place.write_bytes(raw)
     wanted = spark.createDataFrame([k for k in files if k[0] == "r"], "repo string, commit_sha string, path string")
-    assert {(r.path, bytes(r.content)) for r in contents.read_landed(spark, str(tmp_path), wanted).collect()} == {("a b%.py", b"1"), ("d/e.py", b"2")}
+    assert {(r.path, bytes(r.content)) for r in landed.read_landed(spark, str(tmp_path), wanted).collect()} == {("a b%.py", b"1"), ("d/e.py", b"2")}
 
 
 def test_accept_and_guards(spark):
@@ -203,7 +203,7 @@ def test_deep_trees_and_missing_contents(spark):
     loop = spark.createDataFrame([("t0", "d", "tree", "t0", None)], "parent_sha string, name string, type string, sha string, size long")
     with pytest.raises(ValueError):
         repos.walk_trees(roots, loop)
-    assert [r.broken for r in contents.untar(spark.createDataFrame([("r", None)], "repo string, content binary")).collect()] == [True]
+    assert [r.broken for r in landed.untar(spark.createDataFrame([("r", None)], "repo string, content binary")).collect()] == [True]
 
 
 def test_odd_vectors_take_no_part(spark):
