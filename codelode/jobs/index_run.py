@@ -8,6 +8,7 @@ visible in one commit, together with the job's end. A run that breaks off leaves
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ from ..sources.contents import guarded
 from .shared import cut
 
 KEY = ["repo", "path", "blob_sha"]
+#: Contents (repo, path, content: bytes), or what gives those of wanted files (repo, commit_sha, path, blob_sha, size), such as `landed.contents_in`.
+Contents = DataFrame | Callable[[DataFrame], DataFrame]
 TABLES = {
     "chunks": Table(
         "id string, repo string, path string, blob_sha string, language string, chunk_index int, start_line int, end_line int, parent_start_line int, parent_end_line int, "
@@ -72,9 +75,10 @@ class JobLog:
         return self.log.commit(base, {"jobs": [self.log.stage("jobs", self.events(repos, status, seq, **fields), 1)[0]]}, info={"job": self.job, "status": status})
 
 
-def run(heads: DataFrame, listing: DataFrame, contents: DataFrame, root: str, settings: Settings = Settings(), model: str = "hash") -> DataFrame:
+def run(heads: DataFrame, listing: DataFrame, contents: Contents, root: str, settings: Settings = Settings(), model: str = "hash") -> DataFrame:
     """Indexes heads (repo, full_name, ref, commit_sha, forced) by listing (repo, ord, path, blob_sha, size) and landed contents
-    (repo, path, content: bytes); gives the summary of the run, a row per head, with `refused`: why a repository was left alone, or null.
+    (repo, path, content: bytes; or a function that fetches those of the files that are new or changed, and of READMEs, once for the run); gives
+    the summary of the run, a row per head, with `refused`: why a repository was left alone, or null.
 
     What is up to date is skipped; what was forced, or has vectors of another model, starts anew. A repository beyond the limits of
     size, or of which too many contents failed, is left as it is. A file whose content has not landed, has another hash than its listing
@@ -98,7 +102,7 @@ def run(heads: DataFrame, listing: DataFrame, contents: DataFrame, root: str, se
         raise
 
 
-def indexed(log: TableLog, job: JobLog, base: Version, heads: DataFrame, planned: DataFrame, known: DataFrame, listing: DataFrame, contents: DataFrame, settings: Settings, model: str) -> DataFrame:
+def indexed(log: TableLog, job: JobLog, base: Version, heads: DataFrame, planned: DataFrame, known: DataFrame, listing: DataFrame, contents: Contents, settings: Settings, model: str) -> DataFrame:
     active = planned.filter("action <> 'skip'")
     files = listing.join(active.select("repo"), "repo", "left_semi").dropDuplicates(["repo", "path"])
     chosen = select_files(files, settings)
@@ -109,13 +113,17 @@ def indexed(log: TableLog, job: JobLog, base: Version, heads: DataFrame, planned
     changes = cut(index.diff(chosen, ledger.join(active.join(too_large, "repo", "left_anti").select("repo"), "repo", "left_semi")))
     wanted = changes.filter("status in ('added', 'changed')").select(KEY)
     base = job.write(base, active.join(wanted.groupBy("repo").agg(F.count("*").alias("n")), "repo", "left"), "running", RUNNING, files_total=F.coalesce("n", F.lit(0)).cast("long"))
+    readme_keys = repomap.find_readme(chosen).join(chosen, ["repo", "path"]).select(KEY)
+    if not isinstance(contents, DataFrame):
+        asked = wanted.unionByName(readme_keys).distinct().join(active.select("repo", "commit_sha"), "repo").join(files.select("repo", "path", "size"), ["repo", "path"])
+        contents = cut(contents(asked).select("repo", "path", "content"))
     accepted, quarantined, aborted = guarded(wanted, contents, settings)
     refused = cut(too_large.unionByName(aborted.select("repo", F.col("message").alias("refused"))))
     active = cut(active.join(refused, "repo", "left_anti"))
     mine = active.select("repo")
     changes = changes.join(mine, "repo", "left_semi")
     read = cut(redact_documents(read_documents(accepted.select(*KEY, "text"))))
-    readmes = guarded(repomap.find_readme(chosen).join(chosen, ["repo", "path"]).select(KEY), contents, settings)[0].select("repo", "text")
+    readmes = guarded(readme_keys.join(mine, "repo", "left_semi"), contents, settings)[0].select("repo", "text")
     maps = redact_documents(repomap.build(active.select("repo", "full_name", "ref", "commit_sha"), files.join(mine, "repo", "left_semi"), chosen, readmes))
     documents = read.unionByName(maps.select(read.columns))
     chunked = chunk_documents(documents, settings).withColumn("embedding", hash_embed(F.col("embed_text"), settings.vector_size).cast("array<float>"))

@@ -15,7 +15,7 @@ import re
 import tarfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import IO
 
 import pyarrow as pa
@@ -194,6 +194,15 @@ def fetch_landed(spark: SparkSession, folder: str, wanted: DataFrame, archives:
     return given.unionByName(single).join(method, "repo", "left").withColumn("method", F.coalesce("method", F.lit("raw")))
 
 
+def contents_in(spark: SparkSession, folder: str, archives: DataFrame | None = None, settings: Settings = Settings()) -> Callable[[DataFrame], DataFrame]:
+    """What gives the contents of wanted files out of a folder, and out of archives (repo, commit_sha, path) in it where there are any: only what is wanted is opened."""
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        return read_landed(spark, folder, wanted, settings) if archives is None else fetch_landed(spark, folder, wanted, archives, settings)
+
+    return fetch
+
+
 class Part(InputPartition):
     """Objects that a task of the data source reads: repo, commit_sha, path, size."""
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import io
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from codelode.config import Settings
 from codelode.jobs import search
 from codelode.jobs.index_run import jobs, open_index, run, stored_table
 from codelode.operators.tablelog import TableLog
+from codelode.sources import landed
 
 HEADS = "repo string, full_name string, ref string, commit_sha string, forced boolean"
 LISTING = "repo string, ord long, path string, blob_sha string, size long"
@@ -157,3 +160,34 @@ def test_broken_off_runs(spark, tmp_path, undisturbed):
     log = open_index(spark, root)
     log.compact(whole=True, least=2)
     assert index_of(spark, root) == undisturbed[1] and len(log.latest().segments["chunks"]) == 1
+
+
+def test_landed_contents(spark, tmp_path):
+    """A run opens what is new or changed, and READMEs: from the archive where many files are wanted, as single files else."""
+    root, folder = str(tmp_path / "index"), str(tmp_path / "landed")
+    v1 = {"README.md": "# A\nriver boats\n", **{f"f{i}.py": f"x = {i}\n" for i in range(8)}}
+    v2 = v1 | {"f1.py": "x = 'two'\n", "new.py": "y = 1\n"}
+    del v2["f7.py"]
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        for path, text in v1.items():
+            info = tarfile.TarInfo(f"a-c1/{path}")
+            info.size = len(text)
+            tar.addfile(info, io.BytesIO(text.encode()))
+    # of the second commit only what has to be opened has landed
+    single = {("b", "c1", "z.py"): b"z = 1\n", ("a", "c1", ".tar.gz"): out.getvalue()} | {("a", "c2", p): v2[p].encode() for p in ("README.md", "f1.py", "new.py")}
+    landed.land(spark.createDataFrame([(*k, bytearray(v)) for k, v in single.items()], "repo string, commit_sha string, path string, content binary"), folder)
+    archives = spark.createDataFrame([("a", "c1", ".tar.gz")], "repo string, commit_sha string, path string")
+    settings = Settings(archive_from=5)
+
+    def step(commit, files):
+        heads = spark.createDataFrame([(r, f"acme/{r}", "main", commit, False) for r in files], HEADS)
+        listing = spark.createDataFrame([(r, i, p, sha(t.encode()), len(t)) for r, of in files.items() for i, (p, t) in enumerate(of.items())], LISTING)
+        return {x.repo: x for x in run(heads, listing, landed.contents_in(spark, folder, archives, settings), root, settings).collect()}
+
+    first = step("c1", {"a": v1, "b": {"z.py": "z = 1\n"}})
+    assert (first["a"].files_fetched, first["b"].files_fetched, first["a"].refused) == (9, 1, None)
+    second = step("c2", {"a": v2})
+    assert (second["a"].files_fetched, second["a"].files_removed, second["a"].files_unchanged, second["a"].refused) == (2, 1, 7, None)
+    assert texts(spark, root) == {("a", p): t.strip() for p, t in v2.items()} | {("b", "z.py"): "z = 1"}
+    assert {r.text.count("river boats") for r in stored_table(spark, root, "chunks").filter("path = '<repo-map>' and repo = 'a'").collect()} == {1}
