@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..jobs.shared import shared_dir
+from ..jobs.shared import cut, shared_dir
 from ..operators import select
 from ..sources import contents, landed
 from .fixtures import BLOB_SQL, LISTING_SQL, SELECTED_SQL, SETTINGS, listing
@@ -162,7 +162,7 @@ def src7_fetch_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files.withColumn("path", F.concat_ws("/", F.col("ord").cast("string"), "path"))
     wanted = select.select_files(files, SETTINGS)
     settings = replace(SETTINGS, archive_from=5)
-    large = wanted.groupBy("repo").count().filter(F.col("count") > 5).select("repo")
+    large = cut(wanted.groupBy("repo").count().filter(F.col("count") > 5).select("repo"))
     halves = F.col("of").endswith("5")
     whole = files.filter(~halves | (F.col("ord") % 2 == 0)).join(large, "repo", "left_semi")
     single = files.join(large, "repo", "left_anti").unionByName(files.filter(halves & (F.col("ord") % 2 == 1)).join(large, "repo", "left_semi"))

@@ -177,21 +177,22 @@ def fetch_landed(spark: SparkSession, folder: str, wanted: DataFrame, archives:
     Single files are opened only where no archive has given them: in small repositories, and in those of which an archive is missing, too large or
     corrupt. Repeated wanted rows count once. A path that an archive holds twice is given twice (`contents.guarded` counts it once).
     """
-    wanted = wanted.dropDuplicates(PLACE)
+    # names are stored before they meet contents, so that their size is known: where they are small, Spark needn't shuffle the contents
+    wanted = cut(wanted.dropDuplicates(PLACE))
     large = cut(wanted.groupBy("repo").agg(F.count("*").alias("n")).filter(F.col("n") > settings.archive_from).select("repo"))
-    keys = wanted.select("repo", "path")
     asked = wanted.join(large, "repo", "left_semi")
     taken = cut(archives.select(PLACE).distinct().join(asked.select("repo", "commit_sha").distinct(), ["repo", "commit_sha"], "left_semi"))
+    listed = wanted.select("repo", "path", F.lit(True).alias("_asked"))
     # used three times, and unpacking is dear
-    listed = keys.withColumn("_asked", F.lit(True))
     unpacked = cut(untar_landed(spark, folder, taken, settings).join(listed, ["repo", "path"], "left").filter("_asked or broken").drop("_asked"))
     given = unpacked.filter("not broken").select("repo", "path", "content", F.lit("tarball").alias("via"))
-    fallen = unpacked.filter("broken").select("repo").unionByName(large.join(taken, "repo", "left_anti")).distinct()
-    small = wanted.join(large, "repo", "left_anti")
-    left = wanted.join(fallen, "repo", "left_semi").join(given.select("repo", "path"), ["repo", "path"], "left_anti")
-    single = read_landed(spark, folder, cut(small.unionByName(left)), settings).select("repo", "path", "content", F.lit("raw").alias("via"))
-    method = large.join(fallen.withColumn("_fallen", F.lit(True)), "repo", "left").select("repo", F.when(F.col("_fallen"), "tarball+raw").otherwise("tarball").alias("method"))
-    return given.unionByName(single).join(method, "repo", "left").withColumn("method", F.coalesce("method", F.lit("raw")))
+    fallen = unpacked.filter("broken").select("repo").unionByName(large.join(taken, "repo", "left_anti")).distinct().withColumn("_fallen", F.lit(True))
+    method = cut(large.join(fallen, "repo", "left").select("repo", F.when(F.col("_fallen"), "tarball+raw").otherwise("tarball").alias("method")))
+    small = wanted.join(large, "repo", "left_anti").withColumn("method", F.lit("raw"))
+    left = wanted.join(method.filter("method = 'tarball+raw'"), "repo").join(given.select("repo", "path"), ["repo", "path"], "left_anti")
+    single = read_landed(spark, folder, cut(small.unionByName(left)), settings).withColumn("via", F.lit("raw"))
+    columns = ["repo", "path", "content", "via", "method"]
+    return given.join(method, "repo").select(columns).unionByName(single.select(columns))
 
 
 def contents_in(spark: SparkSession, folder: str, archives: DataFrame | None = None, settings: Settings = Settings()) -> Callable[[DataFrame], DataFrame]:
