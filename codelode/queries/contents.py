@@ -95,9 +95,12 @@ def jn3_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'accepted' AS kind, repo, path, NULL AS detail FROM k ANTI JOIN a USING (repo) WHERE reason IS NULL UNION ALL SELECT 'quarantined', repo, path, reason FROM k WHERE reason IS NOT NULL UNION ALL SELECT 'aborted', repo, NULL, message FROM a""")
 def fil4_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents with wrong hashes, binaries and missing ones, in repositories of which some have too many of them and some too many bytes."""
-    files = fetched(spark, sf_dir).withColumn("path", F.concat_ws("#", "path", F.col("ord").cast("string")))
+    # a notebook's own cap goes by its suffix, so that its name ends in it again while it is judged
+    suffix = F.when(F.lower("path").endswith(".ipynb"), ".ipynb").otherwise("")
+    files = fetched(spark, sf_dir).withColumn("path", F.concat("path", F.lit("#"), F.col("ord").cast("string"), suffix))
     settings = replace(SETTINGS, repo_bytes=60_000)
-    accepted, quarantined, aborted = contents.guarded(files, files.filter("ord % 23 <> 9"), settings)
+    bare = lambda df, column: df.withColumn(column, F.regexp_replace(column, r"(#\d+)\.ipynb", "$1"))
+    accepted, quarantined, aborted = (bare(df, column) for df, column in zip(contents.guarded(files, files.filter("ord % 23 <> 9"), settings), ("path", "path", "message")))
     row = lambda df, kind, path, detail: df.select(F.lit(kind).alias("kind"), "repo", path.alias("path"), detail.alias("detail"))
     none = F.lit(None).cast("string")
     return row(accepted, "accepted", F.col("path"), none).unionByName(row(quarantined, "quarantined", F.col("path"), F.col("reason"))).unionByName(row(aborted, "aborted", none, F.col("message")))

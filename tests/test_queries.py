@@ -52,3 +52,27 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.fixture
+def few(spark, tmp_path):
+    """What makes a folder whose documents are the rows (doc_id, text) of a source, beside SQL on them."""
+
+    def make(rows):
+        docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        return str(tmp_path), con
+
+    return make
+
+
+def same_as_sql(spark, name, folder, con):
+    df, sql = QUERIES[name](spark, folder), con.sql(ORACLES[name])
+    assert plain([tuple(r) for r in df.collect()], df.columns) == plain(sql.fetchall(), sql.columns)
+
+
+def test_large_notebooks_have_a_cap_of_their_own(spark, few):
+    rows = [(80 + i, "word " * 5_000) for i in range(2)] + [(20 + i, f"short {i}") for i in range(12)]
+    same_as_sql(spark, "fil4_guarded", *few(rows))
