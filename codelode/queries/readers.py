@@ -48,7 +48,7 @@ def tk3_head_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, round(entropy(c), 6) AS bits FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) GROUP BY doc_id")
 def fn9_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("bits"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.text_entropy(F.col("text")), 6).alias("bits"))
 
 
 @query("""WITH w AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id) AS i, w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS w FROM documents)),
