@@ -1,10 +1,11 @@
-"""Token ids of whole texts at the speed of a dictionary lookup.
+"""Token ids of whole texts.
 
-A byte-level BPE never merges across the border between a visible character and the white space after it, so the ids of
+Texts of up to a million characters meet the tokenizer as they are: a call for each word that no cache has (every fourth word of
+the given texts) took longer than the tokens. Longer ones are parted into chunks. A byte-level BPE never merges across the border between a visible character and the white space after it, so the ids of
 a text are those of its chunks, one after the other. Chunks repeat, so their ids are kept in a cache of bounded size, and
-no long text meets the tokenizer as one string.
+no longer text meets the tokenizer as one string.
 
-The vocabulary is read from the file of the `tokenizers` library. Unknown chunks are encoded by `tiktoken` with that same
+The vocabulary is read from the file of the `tokenizers` library. Texts and unknown chunks are encoded by `tiktoken` with that same
 vocabulary, which gives the same ids in a third of the time (the tests hold them against `tokenizers`). A text is first
 parted at the file's added tokens, as that library does: each is one id, wherever it stands.
 """
@@ -26,6 +27,8 @@ RUN = re.compile(r"\s[ \n]")
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of a worker's cache, about (an entry takes some 200 besides its characters), and the longest chunk that is kept in it.
 CACHE_BYTES, CACHE_CHARS = 24 << 20, 32
+#: Characters of the longest text that isn't parted.
+WHOLE_CHARS = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -113,6 +116,8 @@ def encode_part(text: str, known: ChunkIds) -> bytes:
     """Ids of a text without added tokens."""
     if not text:
         return b""
+    if len(text) <= WHOLE_CHARS:
+        return known.ids(text)
     if RUN.search(text):
         return b"".join([known[c[1:]] if c[0] == " " and c[1:2] != "\n" else known.ids(c) if c[0] != "\n" else known[c] for c in CHUNK.findall(text)])
     first, *rest = text.replace("\n", " \n").split(" ")

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codelode.llm import mixing, packing
+from codelode.llm import mixing, packing, pretokens
 from codelode.llm.pretokens import chunk_ids, encode
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,20 @@ def test_ids_are_those_of_the_tokenizer(text):
     assert np.frombuffer(encode(text, chunk_ids(PATH)), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_meet_the_tokenizer_once_and_long_ones_by_chunks(tokenizer, monkeypatch):
+    known = pretokens.ChunkIds(PATH)
+    calls, whole = [], known.encode
+    known.encode = lambda text: calls.append(text) or whole(text)
+    text = "\n".join(f"w{i:x} {i * 7919:x}\t  z{i}\x1c" for i in range(500))
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encode(text, known), "<u4").tolist() == ids and len(calls) == 1
+    assert np.frombuffer(encode(f"{text}<|endoftext|>{text}", known), "<u4").tolist() == [*ids, int.from_bytes(known.added["<|endoftext|>"], "little"), *ids] and len(calls) == 3
+    monkeypatch.setattr(pretokens, "WHOLE_CHARS", 100)
+    for t in (text, text.replace("\t  ", " ")):
+        assert np.frombuffer(encode(t, known), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert max(map(len, calls[3:])) < 100
+
+
 def test_pieces_and_places(docs, rows, tokenizer):
     got = packing.pack(docs, PATH, capacity=64, groups=8, small=28).collect()
     expected = Counter()
