@@ -5,14 +5,16 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.parts import parts
 from ..functions.paths import language_of
 from .chunk import UNITS
 
+ARROW_UNITS = pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32()), ("name", pa.string()), ("depth", pa.int32())]))
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 
 
@@ -74,13 +76,19 @@ def definitions(source: str) -> list[tuple[int, int, str, int]]:
     return found
 
 
+def units_in_parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Units of sources, a part of a batch at a time, so that a worker holds the texts and trees of that part alone beside the batch."""
+    for batch in batches:
+        for (texts,) in parts(batch):
+            yield pa.array([[dict(zip(("start_line", "end_line", "name", "depth"), u)) for u in definitions(t or "")] for t in texts.to_pylist()], ARROW_UNITS)
+
+
 def python_units(text: Column) -> Column:
     """Units of Python sources; none for what doesn't parse."""
 
-    @F.pandas_udf(UNITS)
-    def units(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series([[dict(zip(("start_line", "end_line", "name", "depth"), u)) for u in definitions(t or "")] for t in part])
+    @F.arrow_udf(UNITS)
+    def units(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from units_in_parts(batches)
 
     return units(text)
 

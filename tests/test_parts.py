@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codelode.config import Settings
 from codelode.functions import parts, redaction, text
-from codelode.operators import chunk, embed
+from codelode.operators import chunk, embed, readers
 from codelode.queries import QUERIES
 
 
@@ -72,3 +72,13 @@ def test_neighbours_are_sorted_without_lines(spark):
 
     tree = plan(QUERIES["wn3_neighbours"](spark, SF))[1]
     assert "sequence(" not in tree[tree.index("Window ") :] and "lines" not in tree[tree.index("Window ") :]
+
+
+def test_units_of_more_than_a_part(spark):
+    texts = [None if i % 50 == 7 else f"x = {i}\nclass C{i}:\n    def f(self):\n        pass\n" if i % 3 else "def broken(" for i in range(1_000)]
+    units = [[] if i % 50 == 7 or i % 3 == 0 else [(2, 4, f"class C{i}", 0), (3, 4, f"class C{i} > def f", 1)] for i in range(1_000)]
+    got = list(readers.units_in_parts(iter([pa.array(texts)])))
+    assert len(got) > 1 and max(map(len, got)) <= parts.PART_ROWS
+    assert [[tuple(u.values()) for u in row] for part in got for row in part.to_pylist()] == units
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
+    assert {r.i: [tuple(u) for u in r.u] for r in df.select("i", readers.python_units(F.col("text")).alias("u")).collect()} == dict(enumerate(units))
