@@ -5,13 +5,15 @@ from __future__ import annotations
 import io
 import tarfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.parts import as_column
 from ..jobs.shared import cut, shared_dir
 from ..operators import select
 from ..sources import contents, landed
@@ -109,17 +111,18 @@ def fil4_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archives(files: DataFrame) -> DataFrame:
     """An archive per repository of files (repo, path, text): repo, content."""
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = io.BytesIO()
         with tarfile.open(fileobj=out, mode="w:gz") as tar:
-            for path, text in zip(rows["path"], rows["text"]):
-                data = text.encode()
-                info = tarfile.TarInfo(f"top/{path}")
-                info.size = len(data)
-                tar.addfile(info, io.BytesIO(data))
-        return pd.DataFrame({"repo": rows["repo"].iloc[:1], "content": [out.getvalue()]})
-
-    return files.groupBy("repo").applyInPandas(pack, "repo string, content binary")
+            for batch in batches:
+                for repo, path, text in zip(*(batch[c] for c in ("repo", "path", "text"))):
+                    data = text.as_buffer()
+                    info = tarfile.TarInfo(f"top/{path}")
+                    info.size = data.size
+                    tar.addfile(info, pa.BufferReader(data))
+        yield pa.RecordBatch.from_arrays([as_column([repo.as_py()], pa.string()), as_column([out.getvalue()], pa.binary())], names=["repo", "content"])
+
+    return files.filter("text is not null").select("repo", "path", "text").groupBy("repo").applyInArrow(pack, "repo string, content binary")
 
 
 @query(f"WITH {LISTING_SQL} SELECT repo, path, ord, md5(text) AS content_md5 FROM listing WHERE octet_length(encode(text)) <= CASE WHEN lower(path) LIKE '%.ipynb' THEN 10485760 ELSE 20000 END")

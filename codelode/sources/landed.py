@@ -26,15 +26,16 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from ..config import Settings
+from ..functions.parts import as_column
 from ..jobs.shared import cut
 
 PLACE = ["repo", "commit_sha", "path"]
 SCHEMA = "repo string, commit_sha string, path string, size long, content binary"
 MEMBERS = pa.schema([("repo", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("broken", pa.bool_())])
 #: Bytes and rows of a batch that leaves a task, bytes that a task reads, and the most tasks.
-BATCH_BYTES, BATCH_ROWS, TASK_BYTES, TASKS = 8 << 20, 1_024, 128 << 20, 200_000
-#: Bytes that are read from an archive at a time.
-BLOCK = 1 << 18
+BATCH_BYTES, BATCH_ROWS, TASK_BYTES, TASKS = 1 << 20, 1_024, 128 << 20, 200_000
+#: Bytes that are read from an archive at a time, and that are inflated at a time (to 17 MB at most, as deflate goes).
+BLOCK, INFLATED = 1 << 18, 1 << 14
 UNFINISHED = "_unfinished-"
 
 
@@ -58,7 +59,7 @@ def in_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBa
     binary = [i for i, f in enumerate(schema) if pa.types.is_binary(f.type)]
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+        return pa.RecordBatch.from_arrays([as_column(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
     for row in rows:
         more = sum(len(row[i] or b"") for i in binary)
@@ -115,10 +116,10 @@ def read_landed(spark: SparkSession, folder: str, wanted: DataFrame, settings: S
 def members(source: IO[bytes], settings: Settings) -> Iterator[tuple[str | None, bytes | None, bool]]:
     """path, content, False of the plain files of a .tar.gz, up to the cap of a file, without the first part of their path; last None, None, True if it's corrupt.
 
-    The archive is read as a stream: what is held is one member, whatever the archive's size. Names that aren't UTF-8 get replacement characters.
+    The archive is read as a stream: what is held is one member and one inflated block, whatever the archive's size. Names that aren't UTF-8 get replacement characters.
     """
     try:
-        with tarfile.open(fileobj=source, mode="r|gz", bufsize=BLOCK) as tar:
+        with tarfile.open(fileobj=source, mode="r|gz", bufsize=INFLATED) as tar:
             while (member := tar.next()) is not None:
                 tar.members.clear()  # or it would keep every header
                 path = member.name.partition("/")[2].encode("utf-8", "surrogateescape").decode("utf-8", "replace")
@@ -161,7 +162,7 @@ def untar_landed(spark: SparkSession, folder: str, archives: DataFrame, settings
                     if at is None or size > settings.archive_cap:
                         yield repo, None, None, True
                         continue
-                    with system.open_input_stream(at, compression=None) as source:
+                    with system.open_input_stream(at, compression=None, buffer_size=BLOCK) as source:
                         yield from ((repo, *m) for m in members(source, settings))
 
         yield from in_batches(rows(), MEMBERS)

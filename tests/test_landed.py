@@ -6,13 +6,19 @@ import gzip
 import hashlib
 import io
 import resource
+import subprocess
+import sys
 import tarfile
+import tracemalloc
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from codelode.config import Settings
+from codelode.functions.parts import as_column
+from codelode.queries.contents import archives
 from codelode.sources import landed
 
 FILES = {("a__x", "c1", "src/m.py"): b"one", ("a__x", "c1", "doc/r 1%.md"): b"two", ("a__x", "c2", "src/m.py"): b"three", ("b__y", "c1", "src/m.py"): b"\0\xff", ("b__y", "c1", "e.py"): b""}
@@ -137,6 +143,39 @@ def test_batches_are_bounded():
     assert all(size <= landed.BATCH_BYTES for n, size in sizes if n > 1)
 
 
+def test_columns_are_made_without_pandas():
+    for kind, values in [(pa.string(), ["a", None, "", "\xe9" * 3]), (pa.binary(), [b"", None, b"\0\xff"]), (pa.string(), [None] * 9), (pa.binary(), []), (pa.bool_(), [True, False, True] * 5), (pa.int64(), [1, -(1 << 40)])]:
+        made = as_column(values, kind)
+        made.validate(full=True)
+        assert made.type == kind and made.to_pylist() == values
+    code = "import sys; from codelode.sources import landed as l; n = [b.num_rows for b in l.in_batches(iter([('r', 'p', b'x', False), ('r', None, None, True)]), l.MEMBERS)]; assert n == [2] and 'pandas' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_memory_of_an_archive_that_compresses_well():
+    """200 MB of zeros in 200 KB: a block of the archive is inflated in small parts."""
+    packed = tar(((f"f{i}.py", bytes(500_000)) for i in range(400)), 9)
+    assert len(packed) < 1 << 20
+    tracemalloc.start()
+    try:
+        assert sum(len(raw) for _, raw, _ in landed.members(io.BytesIO(packed), Settings())) == 200_000_000
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_archives_are_packed_by_arrow_batches(spark):
+    rows = [("r", f"{i}.py", "\xe9" * i) for i in range(9)] + [("r", "none.py", None), ("s", "none.py", None), ("t", "e.py", "")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        packed = archives(spark.createDataFrame(rows, "repo string, path string, text string"))
+        assert "InPandas" not in packed._jdf.queryExecution().optimizedPlan().toString()
+        got = landed.untar(packed).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.repo, r.path, bytes(r.content).decode(), r.broken) for r in got) == [(*r, False) for r in sorted(r for r in rows if r[2] is not None)]
+
+
 def test_memory_of_a_large_archive(spark, tmp_path):
     """50,000 members of 4 KB that don't compress (200 MB): the most that a worker holds, whole archive as a stream."""
     raw = b"".join(hashlib.sha512(i.to_bytes(8, "big")).digest() for i in range(64)) * 50
