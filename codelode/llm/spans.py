@@ -93,7 +93,7 @@ def piece_starts(numbers: np.ndarray, first: np.ndarray, longest: int) -> np.nda
     pair = (pair ^ (pair >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(1)
     n = len(pair)
     least = (nth >= REACH) & (nth < size[sentence] - REACH) & (size[sentence] > longest)
-    for step in range(1, REACH + 1):
+    for step in range(1, min(REACH, n) + 1):  # there may be fewer words
         least[step:] &= pair[step:] < pair[: n - step]
         least[: n - step] &= pair[: n - step] <= pair[step:]
     starts = np.unique(np.r_[first[size > 0], np.flatnonzero(least)])

@@ -198,6 +198,18 @@ def test_marks_of_other_scripts():
     assert spans.units("यह है। वह है", 13)[0] == ["यह है। ", "वह है"]
 
 
+@pytest.mark.parametrize("text", ["", " ", "one", "two words", "now three words", "a. b", "a\nb\nc", "日本", "日本語", "there are four words"])
+def test_few_words_alone(spark, text):
+    """Texts of fewer words than a piece's surroundings, with no other text beside them, and behind a text that fills a part."""
+    long = "word " * (spans.TOGETHER // 5 + 1)
+    behind = list(spans.units_of([long, text], 13))[1]
+    assert spans.units(text, 13) == behind and "".join(behind[0]) == text
+    docs = spark.createDataFrame([(1, long), (2, text)], "doc_id long, text string").coalesce(1)
+    for some in (docs.filter("doc_id = 2"), docs):
+        (kept,) = spans.without_repeats(some, longest=13).filter("doc_id = 2").collect()
+        assert (kept.text, kept.n_sentences, kept.n_removed) == (text, len(behind[0]), 0)
+
+
 def brute_bytes(rows, length):
     first = {}
     for d, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
