@@ -76,3 +76,11 @@ def same_as_sql(spark, name, folder, con):
 def test_large_notebooks_have_a_cap_of_their_own(spark, few):
     rows = [(80 + i, "word " * 5_000) for i in range(2)] + [(20 + i, f"short {i}") for i in range(12)]
     same_as_sql(spark, "fil4_guarded", *few(rows))
+
+
+def test_embedder_words_and_documents(spark, few):
+    """Words part at the SQL's white space; texts without a word have no row, rows that share a doc_id, or have none, one together."""
+    odd = ["", " \t\n\f\r", "abc\x0bdef ghi", "abc\x1cdef", "abc\x85def", "abc\xa0def\u2028ghi\u3000jkl mno", "\xa0", "e\u0301a\u0308o 👩‍👩‍👧 日本語", "a\0b"]
+    folder, con = few([*enumerate(odd), (50, "two two"), (50, "six"), (50, ""), (None, "six"), (None, "ten")])
+    spark.sql("SELECT 60L AS doc_id, CAST(NULL AS STRING) AS text, 'en' AS lang, 'src1' AS source, 0L AS n_chars").write.mode("append").parquet(f"{folder}/documents.parquet")
+    same_as_sql(spark, "ud1_with_embedder", folder, con)
